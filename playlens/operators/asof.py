@@ -43,15 +43,11 @@ def nearest_by_time(targets: DataFrame, candidates: DataFrame, key: str, ts: str
         F.min(next_struct).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("_nxt"),
     ).where(~F.col("_cand"))
 
-    # Per-bucket summary of candidates, then carry across buckets of a key.
-    summary = (cand.withColumn("_b", _bucket(ts, bucket_width))
-               .groupBy(key, "_b")
-               .agg(F.max(F.struct(F.col(ts).alias("t"), (-F.col("_v")).alias("v"))).alias("_last"),
-                    F.min(F.struct(F.col(ts).alias("t"), F.col("_v").alias("v"))).alias("_first")))
-    needed = tgt.select(key, _bucket(ts, bucket_width).alias("_b")).distinct()
+    # Per-bucket summary of candidates (buckets holding only targets get
+    # NULLs), then carry across the buckets of a key.
     wb = Window.partitionBy(key).orderBy("_b")
-    carried = (summary.unionByName(needed, allowMissingColumns=True)
-               .groupBy(key, "_b").agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+    carried = (both.groupBy(key, "_b")
+               .agg(F.max(prev_struct).alias("_last"), F.min(next_struct).alias("_first"))
                .select(key, "_b",
                        F.max("_last").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_cprv"),
                        F.min("_first").over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_cnxt")))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 USER = "user_id"
@@ -24,66 +24,77 @@ LEVELS = ("session", "user", "global")
 ATTRIBUTES = ("app_version", "game_mode", "mobile_brand_name")
 
 
-def _top_value(counts: DataFrame, by: list[str], col: str, weight: str) -> DataFrame:
-    """Most frequent ``col`` per ``by`` (ties -> smallest value)."""
-    w = Window.partitionBy(*by).orderBy(F.col(weight).desc(), F.col(col).asc())
+def _top(counts: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
+    """Most frequent ``value`` per ``by`` (ties -> smallest value)."""
+    w = Window.partitionBy(*by).orderBy(F.col(weight).desc(), F.col(value).asc())
     return (counts.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1)
-            .select(*by, col))
+            .select(*by, F.col(value).alias(out)))
 
 
-def _global_top(counts: DataFrame, col: str, weight: str) -> Column:
-    top = (counts.groupBy(col).agg(F.sum(weight).alias("_w"))
-           .orderBy(F.col("_w").desc(), F.col(col).asc()).limit(1).select(col))
-    return top.scalar()
+def _null_safe_keys(prefix: str):
+    """(user, session) as four plain equi-join keys that also match NULLs."""
+    return [F.coalesce(F.col(USER), F.lit(0)).alias(f"{prefix}0"), F.col(USER).isNull().alias(f"{prefix}1"),
+            F.coalesce(F.col(SESSION), F.lit(0)).alias(f"{prefix}2"), F.col(SESSION).isNull().alias(f"{prefix}3")]
 
 
 def fill_cascade(df: DataFrame, cols=ATTRIBUTES, levels=LEVELS) -> DataFrame:
-    """Fill NULLs of each column in ``cols`` by the ``levels`` in order."""
+    """Fill NULLs of each column in ``cols`` by the ``levels`` in order.
+
+    The columns are stacked into (user, session, attribute, value) and
+    counted - a partial aggregate, so a hot user or session shrinks to its
+    distinct values map-side. From those counts:
+
+    * session value: smallest value of the (user, session, attribute);
+    * user mode: counts after the session fill, per (user, attribute);
+    * global mode: counts after the user fill, per attribute.
+
+    Rows with a gap are then joined once to a (user, session) lookup.
+    """
     cols = list(cols)
+    vtype = df.schema[cols[0]].dataType
     out_cols = df.columns
-    # (user, session, values) -> rows: everything below derives from this.
-    base = df.groupBy(USER, SESSION, *cols).agg(F.count("*").alias("_n"))
+    idx = {c: i for i, c in enumerate(cols)}
+    stacked = df.select(USER, SESSION, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_a"), F.col(c).cast(vtype).alias("_v")) for c, i in idx.items()])))
+    counts = stacked.groupBy(USER, SESSION, "_a", "_v").agg(F.count("*").alias("_n"))
 
+    null_v = F.lit(None).cast(vtype)
     keyed = F.col(USER).isNotNull() & F.col(SESSION).isNotNull()
     if "session" in levels:
-        sess = (base.where(keyed).groupBy(USER, SESSION)
-                .agg(*[F.min(c).alias(f"_s_{c}") for c in cols]))
-        base = base.join(sess, [USER, SESSION], "left")
+        session_min = F.min("_v").over(Window.partitionBy(USER, SESSION, "_a"))
+        counts = counts.withColumn("_s", F.when(keyed, session_min).otherwise(null_v))
     else:
-        base = base.withColumns({f"_s_{c}": F.lit(None).cast(df.schema[c].dataType) for c in cols})
-    after_session = {c: F.coalesce(F.col(c), F.col(f"_s_{c}")) for c in cols}
+        counts = counts.withColumn("_s", null_v)
+    after_session = F.coalesce(F.col("_v"), F.col("_s"))
 
-    user_tables = []
     if "user" in levels:
-        for c in cols:
-            counts = (base.where(F.col(USER).isNotNull())
-                      .select(USER, after_session[c].alias(c), "_n")
-                      .where(F.col(c).isNotNull())
-                      .groupBy(USER, c).agg(F.sum("_n").alias("_w")))
-            user_tables.append(_top_value(counts, [USER], c, "_w").withColumnRenamed(c, f"_u_{c}"))
-        users = reduce(lambda a, b: a.join(b, USER, "full"), user_tables)
-        base = base.join(users, USER, "left")
+        per_user = (counts.where(F.col(USER).isNotNull()).select(USER, "_a", after_session.alias("_e"), "_n")
+                    .where(F.col("_e").isNotNull()).groupBy(USER, "_a", "_e").agg(F.sum("_n").alias("_w")))
+        counts = counts.join(_top(per_user, [USER, "_a"], "_e", "_w", "_u"), [USER, "_a"], "left")
     else:
-        base = base.withColumns({f"_u_{c}": F.lit(None).cast(df.schema[c].dataType) for c in cols})
-    after_user = {c: F.coalesce(F.col(c), F.col(f"_s_{c}"), F.col(f"_u_{c}")) for c in cols}
+        counts = counts.withColumn("_u", null_v)
+    after_user = F.coalesce(F.col("_v"), F.col("_s"), F.col("_u"))
 
     if "global" in levels:
-        glob = {c: _global_top(base.select(after_user[c].alias(c), "_n").where(F.col(c).isNotNull()),
-                               c, "_n") for c in cols}
+        per_attr = (counts.select("_a", after_user.alias("_e"), "_n").where(F.col("_e").isNotNull())
+                    .groupBy("_a", "_e").agg(F.sum("_n").alias("_w")))
+        # At most one row per attribute column: a broadcast with a fixed bound.
+        top = F.broadcast(_top(per_attr, ["_a"], "_e", "_w", "_g"))
+        counts = counts.join(top, "_a", "left")
     else:
-        glob = {c: F.lit(None) for c in cols}
+        counts = counts.withColumn("_g", null_v)
+    final = F.coalesce(F.col("_s"), F.col("_u"), F.col("_g"))
 
-    # Lookup per (user, session): the session value and the user's mode.
-    lookup = (base.select(F.col(USER).alias("_lu"), F.col(SESSION).alias("_ls"),
-                          *[F.col(f"_s_{c}") for c in cols], *[F.col(f"_u_{c}") for c in cols])
-              .dropDuplicates(["_lu", "_ls"]))
+    # One lookup row per (user, session); NULL ids are keys of their own.
+    lookup = counts.groupBy(*_null_safe_keys("_l")).agg(
+        *[F.max(F.when(F.col("_a") == i, final)).alias(f"_f{i}") for i in idx.values()])
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
     complete = df.where(~gap)
     holes = df.where(gap)
-    cond = (F.col(USER) == F.col("_lu")) & F.col(SESSION).eqNullSafe(F.col("_ls"))
-    filled = holes.join(lookup, cond, "left").select(
-        *[F.coalesce(F.col(c), F.col(f"_s_{c}"), F.col(f"_u_{c}"), glob[c]).alias(c) if c in cols
-          else F.col(c) for c in out_cols])
+    keyed_holes = holes.select("*", *_null_safe_keys("_h"))
+    cond = reduce(lambda a, b: a & b, [F.col(f"_h{i}") == F.col(f"_l{i}") for i in range(4)])
+    filled = keyed_holes.join(lookup, cond, "left").select(
+        *[F.coalesce(F.col(c), F.col(f"_f{idx[c]}")).alias(c) if c in idx else F.col(c) for c in out_cols])
     return complete.unionByName(filled)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from playlens.operators.asof import DEFAULT_BUCKET, nearest_by_time
 from playlens.operators.ranking import dense_rank_global
+from playlens.session import stage_table
 
 USER = "user_id"
 SESSION = "session_id"
@@ -98,14 +99,20 @@ def fill_user_surrogate(df: DataFrame) -> DataFrame:
     return known.unionByName(_fill_surrogate(nulls))
 
 
-def repair_user_ids(df: DataFrame, bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
-    """C11 -> C12 -> C13 in sequence, with the known rows read once."""
+def repair_user_ids(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, stage: bool = True) -> DataFrame:
+    """C11 -> C12 -> C13 in sequence, with the known rows read once.
+
+    The rows that had no user (a small share) are materialised after C12,
+    so ranking their sessions for C13 does not recompute C11 and C12.
+    """
     known, nulls = _split(df)
     step1 = _apply(nulls, _single_user_sessions(known), SESSION)
     done1, open1 = step1.where(F.col(USER).isNotNull()), step1.where(F.col(USER).isNull())
-    step2 = _fill_nearest(known, open1, bucket_width)
-    done2, open2 = step2.where(F.col(USER).isNotNull()), step2.where(F.col(USER).isNull())
-    return known.unionByName(done1).unionByName(done2).unionByName(_fill_surrogate(open2))
+    after = done1.unionByName(_fill_nearest(known, open1, bucket_width))
+    if stage:
+        after = stage_table(after, "user_fill")
+    done2, open2 = after.where(F.col(USER).isNotNull()), after.where(F.col(USER).isNull())
+    return known.unionByName(done2).unionByName(_fill_surrogate(open2))
 
 
 def remaining_null_users(df: DataFrame) -> DataFrame:

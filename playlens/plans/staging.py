@@ -1,22 +1,3 @@
-"""Stage tables: cut a long plan by writing it to the shared checkpoint folder.
+"""Stage tables (see ``playlens.session.stage_table``)."""
 
-A stage is written as parquet under ``spark.checkpoint.dir`` and read back,
-so later stages get column pruning and filter pushdown on it, the files
-survive executor loss, and the optimizer plans a short lineage.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame
-
-from playlens.session import ensure_checkpoint_dir
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/playlens-stages/{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+from playlens.session import stage_table as stage  # noqa: F401
