@@ -7,7 +7,7 @@ Stages in the reference's order:
 3. batch index of one entity (C16); app_version, game_mode,
    mobile_brand_name by session -> user mode -> global mode (C17-C25)
 4. null-level snapshot (C26); drop isolated null levels (C27); infer
-   levels (C29)
+   levels (C29) - one timeline pass
 5. durations (C32), outcomes (C34), drop inconsistent rows (C39)
 
 The second median/outcome pass of the reference changes nothing and is not
@@ -63,5 +63,5 @@ def clean_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
     df = _cut(fill_cascade(df, cfg.attributes), "attributes", cfg)
     if cfg.null_level_backup_path:
         write_table(null_level_backup(df), cfg.null_level_backup_path)
-    df = infer_level(df, cfg.bucket_width, drop_isolated=True)
+    df = _cut(infer_level(df, cfg.bucket_width, drop_isolated=True), "levels", cfg)
     return _cut(repair_outcomes(df), "clean", cfg)

@@ -23,10 +23,14 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "playlens", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "playlens", extra: dict | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the executor; the 1g default starves it.
+        builder = builder.config("spark.driver.memory", driver_memory or "8g")
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
