@@ -35,7 +35,11 @@ def duplicate_report(df: DataFrame, cols=ALL14) -> DataFrame:
     r = df.alias("r")
     cond = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in cols])
     out = r.join(g, cond, "inner").select(*[F.col(f"r.{c}") for c in cols], F.col("g.duplicate_count"))
-    return out.orderBy(F.col("duplicate_count").desc(), F.col("event_timestamp").asc_nulls_first())
+    # Copies are identical, so the sort keys cannot split a big group; a
+    # row-unique last key lets the range partitioner spread it over tasks.
+    return (out.withColumn("_tb", F.monotonically_increasing_id())
+            .orderBy(F.col("duplicate_count").desc(), F.col("event_timestamp").asc_nulls_first(), "_tb")
+            .drop("_tb"))
 
 
 def exact_dedup(df: DataFrame, cols=ALL14) -> DataFrame:

@@ -13,27 +13,62 @@ S = "is_success"
 L = "level"
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def _key_cols(keys: list[str], prefix: str):
+    """Group keys as plain equi-join columns that also match NULL keys."""
+    cols = []
+    for i, k in enumerate(keys):
+        cols += [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"{prefix}{i}v"),
+                 F.col(k).isNull().alias(f"{prefix}{i}n")]
+    return cols
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, ranges: int = 64) -> DataFrame:
     """Exact PERCENTILE_CONT(0.5) of ``value`` per ``keys`` (NULL values
     ignored), rounded to 6 decimals.
 
-    Values are first counted per (keys, value) - a partial aggregate, so a
-    hot group shrinks to its distinct values before any shuffle - and the
-    middle ranks are located from running counts over those distinct values.
+    1. count rows per (keys, value) - a partial aggregate, so a hot group
+       shrinks to its distinct values before any shuffle;
+    2. cut each group's distinct values into ``ranges`` ranges at approximate
+       quantiles (a bounded sketch per group) and count rows per range;
+    3. from running counts over the ranges (a few rows per group), keep only
+       the one or two ranges holding the middle ranks, and find the exact
+       middle values by a window over those ranges alone.
+
+    No task ever holds more than about 1/``ranges`` of a group's values.
     """
-    vc = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-          .agg(F.count("*").alias("_c")))
-    w = Window.partitionBy(*keys).orderBy(value)
-    vc = vc.select("*",
-                   F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end"),
-                   F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                   .alias("_n"))
-    lo = F.expr("(_n - 1) div 2")
-    hi = F.expr("_n div 2")
+    fractions = [i / ranges for i in range(1, ranges)]
+    vc = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+          .select("*", *_key_cols(keys, "_g")))
+    gk = [f"_g{i}{t}" for i in range(len(keys)) for t in "vn"]
+    if fractions:
+        cuts = vc.groupBy(*gk).agg(F.percentile_approx(value, fractions, 10000).alias("_cuts"))
+        vc = (vc.join(cuts, gk).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+              .drop("_cuts"))
+    else:
+        vc = vc.withColumn("_r", F.lit(0))
+
+    per_range = vc.groupBy(*gk, "_r").agg(F.sum("_c").alias("_rc"))
+    w = Window.partitionBy(*gk).orderBy("_r")
+    per_range = per_range.select(
+        *gk, "_r", "_rc",
+        F.sum("_rc").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_rend"),
+        F.sum("_rc").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    lo, hi = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+
+    def covers(pos, start, end):
+        return (start <= pos) & (pos < end)
+
+    rstart = F.col("_rend") - F.col("_rc")
+    middle = (per_range.where(covers(lo, rstart, F.col("_rend")) | covers(hi, rstart, F.col("_rend")))
+              .select(*gk, "_r", rstart.alias("_rstart"), "_n"))
+    sub = vc.join(middle, gk + ["_r"])
+    w2 = Window.partitionBy(*gk, "_r").orderBy(value)
+    sub = sub.withColumn("_end", F.col("_rstart")
+                         + F.sum("_c").over(w2.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     start = F.col("_end") - F.col("_c")
-    covers = lambda pos: (start <= pos) & (pos < F.col("_end"))
-    picked = vc.groupBy(*keys).agg(F.min(F.when(covers(lo), F.col(value))).alias("_lo"),
-                                   F.min(F.when(covers(hi), F.col(value))).alias("_hi"))
+    picked = sub.groupBy(*gk).agg(*[F.first(k).alias(k) for k in keys],
+                                  F.min(F.when(covers(lo, start, F.col("_end")), F.col(value))).alias("_lo"),
+                                  F.min(F.when(covers(hi, start, F.col("_end")), F.col(value))).alias("_hi"))
     med = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5
     return picked.select(*keys, round6(med).alias(out))
 

@@ -67,10 +67,11 @@ def test_dense_rank_matches_brute_force(spark, keys, ranges):
 
 
 @SETTINGS
-@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 20)), min_size=1, max_size=30))
-def test_exact_median_matches_pandas(spark, vals):
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 20)), min_size=1, max_size=30),
+       st.integers(1, 5))
+def test_exact_median_matches_pandas(spark, vals, ranges):
     df = frame(spark, [dict(level=lv, time_played=float(t)) for lv, t in vals])
-    got = {r["level"]: r["median_time"] for r in oc.median_by_level_outcome(df).collect()}
+    got = {r["level"]: r["m"] for r in oc.exact_median(df, ["level"], "time_played", "m", ranges).collect()}
     want = pd.DataFrame(vals, columns=["l", "t"]).groupby("l")["t"].median().round(6).to_dict()
     assert got == want
 
