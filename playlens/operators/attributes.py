@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlens.session import stage_table
+
 USER = "user_id"
 SESSION = "session_id"
 LEVELS = ("session", "user", "global")
@@ -37,7 +39,7 @@ def _null_safe_keys(prefix: str):
             F.coalesce(F.col(SESSION), F.lit(0)).alias(f"{prefix}2"), F.col(SESSION).isNull().alias(f"{prefix}3")]
 
 
-def fill_cascade(df: DataFrame, cols=ATTRIBUTES, levels=LEVELS) -> DataFrame:
+def fill_cascade(df: DataFrame, cols=ATTRIBUTES, levels=LEVELS, materialize: bool = True) -> DataFrame:
     """Fill NULLs of each column in ``cols`` by the ``levels`` in order.
 
     The columns are stacked into (user, session, attribute, value) and
@@ -57,6 +59,10 @@ def fill_cascade(df: DataFrame, cols=ATTRIBUTES, levels=LEVELS) -> DataFrame:
     stacked = df.select(USER, SESSION, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_a"), F.col(c).cast(vtype).alias("_v")) for c, i in idx.items()])))
     counts = stacked.groupBy(USER, SESSION, "_a", "_v").agg(F.count("*").alias("_n"))
+    if materialize:
+        # Read by several branches below; materialised once (it is an
+        # aggregate, far smaller than the events) instead of re-scanning.
+        counts = stage_table(counts, "attribute_counts")
 
     null_v = F.lit(None).cast(vtype)
     keyed = F.col(USER).isNotNull() & F.col(SESSION).isNotNull()

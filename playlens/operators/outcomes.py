@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions.columns import round6
 from playlens.model import SUCCESS, FAIL
+from playlens.session import stage_table
 
 T = "time_played"
 S = "is_success"
@@ -156,7 +157,7 @@ def drop_inconsistent(df: DataFrame) -> DataFrame:
     return df.where(~_inconsistent())
 
 
-def repair_outcomes(df: DataFrame) -> DataFrame:
+def repair_outcomes(df: DataFrame, materialize: bool = True) -> DataFrame:
     """C32 -> C34 -> C39 in one pass.
 
     One median table serves both fills: the C32 fill adds copies of a
@@ -165,6 +166,9 @@ def repair_outcomes(df: DataFrame) -> DataFrame:
     """
     cols = df.columns
     m = median_by_level_outcome(df, require_level=False)
+    if materialize:
+        # Two lookups read the median table (one row per level and outcome).
+        m = stage_table(m, "medians")
     by_outcome = m.where(F.col(L).isNotNull())
     sf = success_fail_medians(df, m)
     tgt_cond = _time_fill_targets() | _outcome_targets()
