@@ -68,6 +68,24 @@ def build_marts(clean: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+# Key of each output table, used to order its preview (the reference's
+# TOP 10 has no ORDER BY).
+TABLE_KEYS = {
+    "game_events_clean": ["user_id", "event_timestamp", "batch_event_index"],
+    "level_dropoff": ["level"],
+    "level_difficulty": ["level"],
+    "user_progression": ["user_id"],
+    "level_summary": ["level"],
+}
+
+
+def preview(tables: dict[str, DataFrame], n: int = 10) -> dict[str, DataFrame]:
+    """The first ``n`` rows of each output table by its key (a top-k,
+    planned as TakeOrderedAndProject)."""
+    return {name: df.orderBy(*[F.col(k).asc_nulls_first() for k in TABLE_KEYS[name]]).limit(n)
+            for name, df in tables.items()}
+
+
 def write_marts(clean: DataFrame, root: str, fmt: str = "parquet") -> dict[str, str]:
     """Drop-and-recreate every output table under ``root``."""
     paths = {}
