@@ -54,14 +54,29 @@ def dedup_events(raw: DataFrame) -> DataFrame:
     return exact_dedup(typed_events(raw))
 
 
-def clean_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
+def attributes_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
+    """Stages 1-3: the table as it is before the level steps (C26 reads it)."""
     cfg = cfg or CleanConfig()
     df = _cut(dedup_events(raw), "dedup", cfg)
     df = _cut(repair_user_ids(df, cfg.bucket_width), "identity", cfg)
     for entity in cfg.batch_index_entities:
         df = fill_mode_for_entity(df, "user_id", entity, "batch_event_index")
-    df = _cut(fill_cascade(df, cfg.attributes), "attributes", cfg)
+    return _cut(fill_cascade(df, cfg.attributes), "attributes", cfg)
+
+
+def levels_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
+    """Stages 1-4: the table before the duration and outcome steps."""
+    cfg = cfg or CleanConfig()
+    return infer_levels_stage(attributes_events(raw, cfg), cfg)
+
+
+def infer_levels_stage(df: DataFrame, cfg: CleanConfig) -> DataFrame:
+    """Stage 4 on the output of stage 3."""
     if cfg.null_level_backup_path:
         write_table(null_level_backup(df), cfg.null_level_backup_path)
-    df = _cut(infer_level(df, cfg.bucket_width, drop_isolated=True), "levels", cfg)
-    return _cut(repair_outcomes(df), "clean", cfg)
+    return _cut(infer_level(df, cfg.bucket_width, drop_isolated=True), "levels", cfg)
+
+
+def clean_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
+    cfg = cfg or CleanConfig()
+    return _cut(repair_outcomes(levels_events(raw, cfg)), "clean", cfg)

@@ -24,7 +24,8 @@ from playlens.plans import difficulty as dif
 from playlens.plans import dropoff as dro
 from playlens.plans import eda
 from playlens.plans import marts
-from playlens.plans.pipeline import CleanConfig, clean_events
+from playlens.plans.pipeline import CleanConfig, attributes_events, clean_events, infer_levels_stage
+from playlens.session import stage_table
 from playlens.sources.fixture import game_events_raw
 
 _CACHE: dict = {}
@@ -39,8 +40,16 @@ def inputs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = rp.typed_events(inputs(spark, sf_dir, "raw"))
         elif name == "dedup":
             df = dd.exact_dedup(inputs(spark, sf_dir, "typed"))
+        elif name == "attributes":
+            df = attributes_events(inputs(spark, sf_dir, "raw"), CleanConfig())
+        elif name == "levels":
+            df = infer_levels_stage(inputs(spark, sf_dir, "attributes"), CleanConfig())
+        elif name == "outcomes":
+            # The table after the reference's first C32 / C34 pass, before
+            # the inconsistent rows are dropped (where it checks them).
+            df = oc.infer_is_success(oc.fill_time_played_median(inputs(spark, sf_dir, "levels")))
         elif name == "clean":
-            df = clean_events(inputs(spark, sf_dir, "raw"), CleanConfig())
+            df = stage_table(oc.repair_outcomes(inputs(spark, sf_dir, "levels")), "clean")
         else:
             raise KeyError(name)
         _CACHE[key] = df
@@ -97,6 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outcome_null_counts": _on("dedup", oc.outcome_null_counts),
     "drop_inconsistent": _on("dedup", oc.drop_inconsistent),
     "clean_pipeline": lambda spark, sf_dir: clean_events(inputs(spark, sf_dir, "raw"), CleanConfig()),
+    # the reference's checks at their place in the chain
+    "pipeline_null_level_backup": _on("attributes", tl.null_level_backup),
+    "pipeline_missing_time_rows": _on("outcomes", oc.missing_time_rows),
+    "pipeline_missing_outcome_rows": _on("outcomes", oc.missing_outcome_rows),
+    "pipeline_inconsistent_rows": _on("outcomes", oc.inconsistent_rows),
+    "pipeline_outcome_null_counts": _on("outcomes", oc.outcome_null_counts),
     # 2.2 exploratory metrics
     "dataset_overview": _on("clean", eda.dataset_overview),
     "event_distribution": _on("clean", eda.event_distribution),
