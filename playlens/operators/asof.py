@@ -1,7 +1,7 @@
 """Two-sided nearest-in-time lookup within a key (an as-of join in both
 directions), without a self-join and without one window per key.
 
-Rows are windowed per ``(key, time bucket)``; each bucket also receives the
+Rows are windowed per ``(key, time bucket)`` (see ``buckets``); each bucket also receives the
 last and first candidate of the nearest earlier and later non-empty buckets
 of its key, taken from a per-bucket summary. A key holding a third of the
 data is therefore spread over many buckets (many tasks), and the only
@@ -13,12 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# One hour of the microsecond timestamps used by the event table.
-DEFAULT_BUCKET = 3_600_000_000
-
-
-def _bucket(ts: str, width: int):
-    return F.expr(f"`{ts}` div {int(width)}")
+from playlens.operators.buckets import DEFAULT_BUCKET, with_buckets
 
 
 def nearest_by_time(targets: DataFrame, candidates: DataFrame, key: str, ts: str, value: str,
@@ -32,7 +27,7 @@ def nearest_by_time(targets: DataFrame, candidates: DataFrame, key: str, ts: str
     """
     cand = candidates.select(key, ts, F.col(value).alias("_v")).withColumn("_cand", F.lit(True))
     tgt = targets.withColumn("_cand", F.lit(False))
-    both = tgt.unionByName(cand, allowMissingColumns=True).withColumn("_b", _bucket(ts, bucket_width))
+    both = with_buckets(tgt.unionByName(cand, allowMissingColumns=True), [key], ts, "_b", bucket_width)
 
     w = Window.partitionBy(key, "_b").orderBy(ts)
     prev_struct = F.when(F.col("_cand"), F.struct(F.col(ts).alias("t"), (-F.col("_v")).alias("v")))

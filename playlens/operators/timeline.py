@@ -1,7 +1,7 @@
 """Level timeline and level inference.
 
 ``LAG``/``LEAD`` over each user's events would put all of one user's rows in
-one window partition. Instead rows are windowed per (user, time bucket); the
+one window partition. Instead rows are windowed per (user, time bucket) - see ``buckets``; the
 first and last row of each bucket take their outer neighbour from a
 per-bucket summary (first and last event of the nearest non-empty bucket
 before and after), so a very active user is spread over many tasks.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions.columns import level_gap_pick
 from playlens.model import SUCCESS, FAIL, TIMELINE_ORDER
-from playlens.operators.asof import DEFAULT_BUCKET
+from playlens.operators.buckets import DEFAULT_BUCKET, with_buckets
 
 USER = "user_id"
 LONG_MIN = -(2**63)
@@ -38,11 +38,11 @@ def drop_isolated_null_level(df: DataFrame) -> DataFrame:
 
 def _keyed(df: DataFrame, bucket_width: int) -> DataFrame:
     # NULL user ids form their own group, NULL timestamps sort first.
-    return df.withColumns({
+    keyed = df.withColumns({
         "_uk": F.coalesce(F.col(USER), F.lit(0).cast("long")),
         "_un": F.col(USER).isNull(),
-        "_b": F.coalesce(F.expr(f"event_timestamp div {int(bucket_width)}"), F.lit(LONG_MIN)),
     })
+    return with_buckets(keyed, ["_uk", "_un"], "event_timestamp", "_b", bucket_width, null_bucket=LONG_MIN)
 
 
 def level_timeline(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, with_user_rows: bool = False) -> DataFrame:

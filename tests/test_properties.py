@@ -2,11 +2,13 @@
 pipeline invariants from the reference's own checks."""
 
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from playlens.operators import attributes as attr
+from playlens.operators import buckets
 from playlens.operators import dedup as dd
 from playlens.operators import identity as ident
 from playlens.operators import outcomes as oc
@@ -27,9 +29,18 @@ events = st.lists(st.tuples(st.integers(1, 3),                       # session
                   min_size=1, max_size=25)
 
 
+@pytest.fixture(params=["default", "hot"])
+def hot_keys(request, monkeypatch):
+    """'hot': every key with more than 2 rows gets its own bucket width."""
+    if request.param == "hot":
+        monkeypatch.setattr(buckets, "TARGET_ROWS", 2)
+        monkeypatch.setattr(buckets, "MAX_HOT", 1000)
+    return request.param
+
+
 @SETTINGS
 @given(events, st.sampled_from([1, 7, 1000]))
-def test_nearest_matches_brute_force(spark, evs, width):
+def test_nearest_matches_brute_force(spark, hot_keys, evs, width):
     rows = [dict(session_id=s, user_id=u, event_timestamp=t, batch_event_index=i) for i, (s, u, t) in enumerate(evs)]
     out = {r["batch_event_index"]: r["user_id"] for r in
            ident.fill_user_nearest(frame(spark, rows), bucket_width=width).collect()}
@@ -45,7 +56,7 @@ def test_nearest_matches_brute_force(spark, evs, width):
 @given(st.lists(st.tuples(st.integers(0, 40), st.one_of(st.none(), st.integers(1, 5)),
                           st.sampled_from(["TRUE", "FALSE", None])), min_size=1, max_size=20),
        st.sampled_from([1, 5, 10**6]))
-def test_timeline_matches_brute_force(spark, evs, width):
+def test_timeline_matches_brute_force(spark, hot_keys, evs, width):
     rows = [dict(user_id=1, event_timestamp=t, batch_event_index=i, level=lv, is_success=s)
             for i, (t, lv, s) in enumerate(evs)]
     got = {r["batch_event_index"]: (r["prev_level"], r["prev_success"], r["next_level"])
@@ -119,3 +130,11 @@ def test_clean_is_independent_of_partition_count(spark):
         assert _rows(pl.clean_events(raw, pl.CleanConfig(bucket_width=600_000_000))) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_hot_keys_get_narrower_buckets(spark):
+    rows = [dict(user_id=1, event_timestamp=t) for t in range(0, 1000, 10)] + [dict(user_id=2, event_timestamp=5)]
+    out = buckets.with_buckets(frame(spark, rows), ["user_id"], "event_timestamp", "_b", default_width=10**6,
+                               target_rows=10, max_hot=5)
+    per_user = {r["user_id"]: r["n"] for r in out.groupBy("user_id").agg(F.countDistinct("_b").alias("n")).collect()}
+    assert per_user[2] == 1 and per_user[1] >= 8
