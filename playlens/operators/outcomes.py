@@ -23,7 +23,8 @@ def _key_cols(keys: list[str], prefix: str):
     return cols
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str, ranges: int = 64) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, ranges: int = 64,
+                 materialize: bool = True) -> DataFrame:
     """Exact PERCENTILE_CONT(0.5) of ``value`` per ``keys`` (NULL values
     ignored), rounded to 6 decimals.
 
@@ -47,6 +48,10 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str, ranges: i
               .drop("_cuts"))
     else:
         vc = vc.withColumn("_r", F.lit(0))
+    if materialize:
+        # The cut points depend on merge order; both branches below must see
+        # the same range of every value, also after a recomputation.
+        vc = stage_table(vc, "median_values")
 
     per_range = vc.groupBy(*gk, "_r").agg(F.sum("_c").alias("_rc"))
     w = Window.partitionBy(*gk).orderBy("_r")
