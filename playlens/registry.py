@@ -24,7 +24,7 @@ from playlens.plans import difficulty as dif
 from playlens.plans import dropoff as dro
 from playlens.plans import eda
 from playlens.plans import marts
-from playlens.plans.pipeline import CleanConfig, attributes_events, clean_events, infer_levels_stage
+from playlens.plans.cleaning import CleanConfig, attributes_events, clean_events, infer_levels_stage
 from playlens.session import stage_table
 from playlens.sources.fixture import game_events_raw
 
@@ -105,13 +105,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inconsistent_rows": _on("dedup", oc.inconsistent_rows),
     "outcome_null_counts": _on("dedup", oc.outcome_null_counts),
     "drop_inconsistent": _on("dedup", oc.drop_inconsistent),
-    "clean_pipeline": lambda spark, sf_dir: clean_events(inputs(spark, sf_dir, "raw"), CleanConfig()),
+    "clean_events": lambda spark, sf_dir: clean_events(inputs(spark, sf_dir, "raw"), CleanConfig()),
     # the reference's checks at their place in the chain
-    "pipeline_null_level_backup": _on("attributes", tl.null_level_backup),
-    "pipeline_missing_time_rows": _on("outcomes", oc.missing_time_rows),
-    "pipeline_missing_outcome_rows": _on("outcomes", oc.missing_outcome_rows),
-    "pipeline_inconsistent_rows": _on("outcomes", oc.inconsistent_rows),
-    "pipeline_outcome_null_counts": _on("outcomes", oc.outcome_null_counts),
+    "chain_null_level_backup": _on("attributes", tl.null_level_backup),
+    "chain_missing_time_rows": _on("outcomes", oc.missing_time_rows),
+    "chain_missing_outcome_rows": _on("outcomes", oc.missing_outcome_rows),
+    "chain_inconsistent_rows": _on("outcomes", oc.inconsistent_rows),
+    "chain_outcome_null_counts": _on("outcomes", oc.outcome_null_counts),
     # 2.2 exploratory metrics
     "dataset_overview": _on("clean", eda.dataset_overview),
     "event_distribution": _on("clean", eda.event_distribution),

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from playlens.operators import identity as ident
 from playlens.operators import outcomes as oc
 from playlens.operators import timeline as tl
-from playlens.plans.pipeline import dedup_events
+from playlens.plans.cleaning import dedup_events
 from playlens.sources.fixture import game_events_raw
 
 SF = "/root/testdata/sf0.01"

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from playlens.operators import attributes as attr
 from playlens.plans import dropoff, eda
-from playlens.plans.pipeline import dedup_events
+from playlens.plans.cleaning import dedup_events
 from playlens.registry import inputs
 from playlens.sources.fixture import game_events_raw
 

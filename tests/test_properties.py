@@ -14,7 +14,7 @@ from playlens.operators import identity as ident
 from playlens.operators import outcomes as oc
 from playlens.operators import timeline as tl
 from playlens.operators.ranking import dense_rank_global
-from playlens.plans import pipeline as pl
+from playlens.plans import cleaning as pl
 from playlens.plans.dropoff import level_dropoff
 from playlens.plans.marts import user_progression
 from playlens.sources.fixture import game_events_raw

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from playlens.model import ALL14
 from playlens.plans.marts import build_marts, preview, write_marts
-from playlens.plans.pipeline import CleanConfig, clean_events, dedup_events
+from playlens.plans.cleaning import CleanConfig, clean_events, dedup_events
 from playlens.sources import read_raw_events, read_typed_events
 from playlens.sources.fixture import game_events_raw
 

@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from playlens.model import ALL14
-from playlens.plans.pipeline import dedup_events
+from playlens.plans.cleaning import dedup_events
 from playlens.sources.fixture import game_events_raw
 from playlens.streaming import ingest_raw_events
 
