@@ -3,7 +3,8 @@
 Stages in the reference's order:
 
 1. repair ids, type, drop shadows (C01-C03); drop identical copies (C06)
-2. player ids: single-user session, nearest event, surrogate (C11-C13)
+2. player ids: single-user session, nearest event, surrogate (C11-C13),
+   read through (its heavy parts are small staged sets)
 3. batch index of one entity (C16); app_version, game_mode,
    mobile_brand_name by session -> user mode -> global mode (C17-C25)
 4. null-level snapshot (C26); drop isolated null levels (C27); infer
@@ -58,7 +59,9 @@ def attributes_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFra
     """Stages 1-3: the table as it is before the level steps (C26 reads it)."""
     cfg = cfg or CleanConfig()
     df = _cut(dedup_events(raw), "dedup", cfg)
-    df = _cut(repair_user_ids(df, cfg.bucket_width), "identity", cfg)
+    # Not staged: the id repair is a scan of the dedup stage plus small
+    # staged sets (rows that had no player), cheap to read through.
+    df = repair_user_ids(df, cfg.bucket_width)
     for entity in cfg.batch_index_entities:
         df = fill_mode_for_entity(df, "user_id", entity, "batch_event_index")
     return _cut(fill_cascade(df, cfg.attributes), "attributes", cfg)
