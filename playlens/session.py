@@ -87,3 +87,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{root}/playlens-stages/{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024**2) -> dict:
+    """Session settings sized for an input of ``input_bytes`` on a cluster
+    with ``total_cores`` task slots.
+
+    Shuffles start with enough partitions that each holds about
+    ``partition_bytes`` of the full table (at least two waves of tasks) and
+    AQE coalesces them down after small aggregates; scans split files at the
+    same size; a partition several times the median and above 1 GiB counts
+    as skewed and is split in joins. Example: 100 TB on 8000 cores ->
+    400,000 initial shuffle partitions of about 256 MiB.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
