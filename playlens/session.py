@@ -98,7 +98,7 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 *
     AQE coalesces them down after small aggregates; scans split files at the
     same size; a partition several times the median and above 1 GiB counts
     as skewed and is split in joins. Example: 100 TB on 8000 cores ->
-    400,000 initial shuffle partitions of about 256 MiB.
+    about 373,000 initial shuffle partitions of 256 MiB.
     """
     partitions = max(2 * total_cores, -(-input_bytes // partition_bytes))
     return {
