@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import ratio, round6
-from playlens.model import FAIL, SUCCESS
+from playlens.model import FAIL, LEVEL_START, SUCCESS
 from playlens.plans.difficulty import level_stats
 from playlens.plans.dropoff import level_dropoff as _level_dropoff
 from playlens.sources.readers import write_table
@@ -38,22 +38,39 @@ def user_progression(clean: DataFrame) -> DataFrame:
                                 F.count_if(F.col(S) == SUCCESS).alias("total_successes"))
 
 
-def level_summary(clean: DataFrame, dropoff: DataFrame | None = None,
-                  difficulty: DataFrame | None = None) -> DataFrame:
-    """Per level totals, then the drop-off and difficulty columns of
-    M02/M03 (one row per level each, so aggregating first equals the
-    reference's join-then-group)."""
-    dropoff = dropoff if dropoff is not None else level_dropoff(clean)
-    difficulty = difficulty if difficulty is not None else level_difficulty(clean)
-    base = clean.groupBy(L).agg(F.count("*").alias("total_attempts"),
-                                F.countDistinct(U).alias("unique_users"),
-                                round6(F.avg(T)).alias("avg_playtime"),
-                                ratio(F.count_if(F.col(S) == SUCCESS), F.count(S)).alias("success_rate"))
-    d = dropoff.select(F.col(L).alias("_dl"), "dropoff_rate")
-    f = difficulty.select(F.col(L).alias("_fl"), "fail_rate", "avg_attempts")
-    return (base.join(d, base[L] == d["_dl"], "left").join(f, base[L] == f["_fl"], "left")
-            .select(L, "total_attempts", "unique_users", "avg_playtime", "success_rate",
-                    "dropoff_rate", "fail_rate", "avg_attempts"))
+def level_summary(clean: DataFrame) -> DataFrame:
+    """Per level totals plus the drop-off rate of M02 and the fail rate
+    and average starts of M03.
+
+    The reference joins the events to M02 and M03 and groups; here one
+    per-level aggregate carries everything M02 and M03 derive from (players
+    reached = unique players, outcome/duration/start counts) and one
+    per-player maximum gives the drop-offs: two scans instead of four.
+    Levels that M03 lacks (no outcome, duration or start; the NULL level)
+    get NULL fail rate and average starts, and the NULL level a NULL
+    drop-off rate, as the left joins give.
+    """
+    start = F.col("event_name") == LEVEL_START
+    per_level = clean.groupBy(L).agg(
+        F.count("*").alias("total_attempts"),
+        F.countDistinct(U).alias("unique_users"),
+        round6(F.avg(T)).alias("avg_playtime"),
+        ratio(F.count_if(F.col(S) == SUCCESS), F.count(S)).alias("success_rate"),
+        ratio(F.count_if(F.col(S) == FAIL), F.count(S)).alias("_fail_rate"),
+        F.count(S).alias("_ns"), F.count(T).alias("_nt"), F.count_if(start).alias("_starts"),
+        F.countDistinct(F.when(start, F.col(U))).alias("_players"),
+        F.max(F.when(start & F.col(U).isNull(), 1).otherwise(0)).alias("_null_player"))
+    dropped = (clean.groupBy(U).agg(F.max(L).alias("_ml")).groupBy("_ml")
+               .agg(F.count("*").alias("_dropped")))
+    j = per_level.join(dropped, per_level[L] == dropped["_ml"], "left")
+    in_m03 = F.col(L).isNotNull() & (F.col("_ns") > 0) & (F.col("_nt") > 0) & (F.col("_starts") > 0)
+    return j.select(
+        L, "total_attempts", "unique_users", "avg_playtime", "success_rate",
+        # The NULL level never joins M02's rows.
+        F.when(F.col(L).isNotNull(), ratio(F.coalesce(F.col("_dropped"), F.lit(0)), F.col("unique_users")))
+        .alias("dropoff_rate"),
+        F.when(in_m03, F.col("_fail_rate")).alias("fail_rate"),
+        F.when(in_m03, ratio(F.col("_starts"), F.col("_players") + F.col("_null_player"))).alias("avg_attempts"))
 
 
 def build_marts(clean: DataFrame) -> dict[str, DataFrame]:
@@ -64,7 +81,7 @@ def build_marts(clean: DataFrame) -> dict[str, DataFrame]:
         "level_dropoff": dropoff,
         "level_difficulty": difficulty,
         "user_progression": user_progression(clean),
-        "level_summary": level_summary(clean, dropoff, difficulty),
+        "level_summary": level_summary(clean),
     }
 
 

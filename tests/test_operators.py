@@ -167,3 +167,26 @@ def test_dropoff_null_user_counts_in_dropped_only(spark):
     df = frame(spark, [dict(user_id=None, level=2), dict(user_id=1, level=1), dict(user_id=1, level=2)])
     got = {r["level"]: (r["users_reached"], r["dropped_users"]) for r in dropoff.level_dropoff(df).collect()}
     assert got == {1: (1, 0), 2: (1, 2)}
+
+
+def test_level_summary_equals_join_of_marts(spark):
+    from playlens.plans import marts
+
+    rows = [dict(level=None, user_id=1), dict(level=1, event_name="level_start", user_id=None),
+            dict(level=1, user_id=2, is_success="FALSE"), dict(level=2, user_id=2, time_played=None,
+                                                               is_success=None),
+            dict(level=3, user_id=3, event_name="level_end"), dict(level=3, user_id=4, event_name="level_start")]
+    df = frame(spark, rows)
+    fused = {r["level"]: tuple(r) for r in marts.level_summary(df).collect()}
+    d = marts.level_dropoff(df).select(F.col("level").alias("_dl"), "dropoff_rate")
+    f = marts.level_difficulty(df).select(F.col("level").alias("_fl"), "fail_rate", "avg_attempts")
+    base = df.groupBy("level").agg(F.count("*").alias("total_attempts"),
+                                   F.countDistinct("user_id").alias("unique_users"),
+                                   F.round(F.avg("time_played"), 6).alias("avg_playtime"),
+                                   F.round(F.try_divide(F.count_if(F.col("is_success") == "TRUE").cast("double"),
+                                                        F.count("is_success").cast("double")), 6)
+                                   .alias("success_rate"))
+    joined = (base.join(d, base["level"] == d["_dl"], "left").join(f, base["level"] == f["_fl"], "left")
+              .select("level", "total_attempts", "unique_users", "avg_playtime", "success_rate",
+                      "dropoff_rate", "fail_rate", "avg_attempts"))
+    assert fused == {r["level"]: tuple(r) for r in joined.collect()}
