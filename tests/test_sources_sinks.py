@@ -48,3 +48,13 @@ def test_previews_are_top10_by_key(spark):
     assert len(rows) == 10 and [c for c in prev["game_events_clean"].columns] == ALL14
     keys = [(r["user_id"], r["event_timestamp"]) for r in rows]
     assert keys == sorted(keys)
+
+
+def test_scale_conf_sizes_partitions():
+    from playlens.session import scale_conf
+
+    big = scale_conf(100 * 10**12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 * 1024**2))
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = scale_conf(10**6, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
