@@ -1,10 +1,11 @@
 """Level timeline and level inference.
 
 ``LAG``/``LEAD`` over each user's events would put all of one user's rows in
-one window partition. Instead rows are windowed per (user, time bucket) - see ``buckets``; the
-first and last row of each bucket take their outer neighbour from a
-per-bucket summary (first and last event of the nearest non-empty bucket
-before and after), so a very active user is spread over many tasks.
+one window partition. Instead rows are windowed per (user, time bucket)
+(see ``buckets``); the first and last row of each bucket take their outer
+neighbour from a per-bucket summary (first and last event of the nearest
+non-empty bucket before and after), so a very active user is spread over
+many tasks.
 """
 
 from __future__ import annotations
