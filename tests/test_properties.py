@@ -138,3 +138,17 @@ def test_hot_keys_get_narrower_buckets(spark):
                                target_rows=10, max_hot=5)
     per_user = {r["user_id"]: r["n"] for r in out.groupBy("user_id").agg(F.countDistinct("_b").alias("n")).collect()}
     assert per_user[2] == 1 and per_user[1] >= 8
+
+
+def test_reference_checks_as_invariants(spark):
+    raw = game_events_raw(spark, "/root/testdata/sf0.01")
+    typed = pl.typed_events(raw)
+    dedup = dd.exact_dedup(typed)
+    # distinct count before the delete = row count after it
+    assert dd.distinct_row_count(typed).first()[0] == dd.row_count(dedup).first()[0]
+    # the duplicate listing is empty after the delete
+    assert dd.duplicate_report(dedup).count() == 0
+    # after the three id fills only rows without a session lack a player
+    ids = ident.repair_user_ids(dedup)
+    left = ident.remaining_null_users(ids).first()[0]
+    assert left == ids.where(F.col("session_id").isNull()).count()
