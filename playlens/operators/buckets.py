@@ -4,8 +4,8 @@ Windows over a key's timeline are partitioned by (key, time bucket). A
 fixed width leaves a very active key with very full buckets, so keys whose
 row count exceeds what one bucket should hold get a width derived from
 their own density (rows per unit of time); all other keys keep the default.
-Hot keys are found with one partial aggregate; there are at most
-``max_hot`` of them by construction, so the table of their widths is
+Hot keys are found with one partial aggregate and a top-k; there are at
+most ``max_hot`` of them by construction, so the table of their widths is
 broadcast with a known bound.
 """
 
@@ -29,12 +29,12 @@ def with_buckets(df: DataFrame, keys: list[str], ts: str, out: str = "_b",
     target_rows = target_rows or TARGET_ROWS
     max_hot = max_hot or MAX_HOT
     stats = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    total = stats.agg(F.sum("_rows")).scalar()
-    threshold = F.greatest(F.lit(target_rows), total / F.lit(max_hot))
     span = (F.col("_t1") - F.col("_t0") + 1).cast("double")
     width = F.least(F.lit(default_width),
                     F.greatest(F.lit(1), F.floor(span * target_rows / F.col("_rows")))).cast("long")
-    hot = (stats.where(F.col("_rows") > threshold)
+    # The largest keys above the target, at most ``max_hot`` of them (a
+    # top-k); any further big key keeps the default width.
+    hot = (stats.where(F.col("_rows") > target_rows).orderBy(F.col("_rows").desc()).limit(max_hot)
            .select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], width.alias("_w")))
     cond = None
     for i, k in enumerate(keys):
