@@ -152,3 +152,9 @@ def test_reference_checks_as_invariants(spark):
     ids = ident.repair_user_ids(dedup)
     left = ident.remaining_null_users(ids).first()[0]
     assert left == ids.where(F.col("session_id").isNull()).count()
+
+
+def test_unstaged_chain_equals_staged(spark):
+    raw = game_events_raw(spark, SF)
+    staged = _rows(pl.clean_events(raw))
+    assert _rows(pl.clean_events(raw, pl.CleanConfig(stage_tables=False))) == staged
