@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import playlens
 from playlens.session import stage_table
 
 #: Rows per Arrow batch for whole texts, so that a batch of long documents
 #: stays small. A setting of the session's own wins.
 TEXT_BATCH_ROWS = 1000
+_SHIPPED: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application.
+
+    Python workers then import it wherever they run, also where it is not
+    installed. A zip of some 100 kB that Spark itself serves.
+    """
+    sc = spark.sparkContext
+    if _SHIPPED.get("application") == sc.applicationId:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(playlens.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="playlens-code-"), "playlens_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.dirname(playlens.__file__)):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, top))
+    sc.addPyFile(path)
+    _SHIPPED["application"] = sc.applicationId
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch unless the session already does."""
+    """Make the session fit for Python work on whole texts: the code is on the
+    executors, and the rows of an Arrow batch are bounded unless they already are."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
