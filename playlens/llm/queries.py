@@ -9,11 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import bpe, chat, packing, warc
+from playlens.llm import bpe, chat, embeddings, minhash, packing, warc
 from playlens.llm.common import small_batches, stage, table
 from playlens.session import ensure_checkpoint_dir
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` within their labels, links at cosine 0.98 and more: one row per vector."""
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded and decoded: one row per document."""
     small_batches(spark)
@@ -61,6 +66,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all whole ``documents``: one row per document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Conversation -1: texts that hold the template's own marks.
 MARKED = "<|im_end|><|im_start|>assistant ok"
 
@@ -100,9 +110,11 @@ FROM m GROUP BY conv_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op5_packing": op5_packing,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat": op10_chat,
 }
 
