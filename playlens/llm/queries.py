@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import bpe, chat, embeddings, minhash, packing, warc
+from playlens.llm import bpe, chat, embeddings, fingerprint, minhash, packing, warc
 from playlens.llm.common import small_batches, stage, table
 from playlens.session import ensure_checkpoint_dir
 
@@ -66,6 +66,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all whole ``documents``, of their edited texts, and likenesses: one row per document."""
+    fp = fingerprint
+    rows = fp.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", fp.edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    rows = fp.with_sketch(rows, "edited", "edited_sketch")
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fp.to_text(F.col("sketch")).alias("fingerprint"), fp.to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fp.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fp.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all whole ``documents``: one row per document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -114,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op5_packing": op5_packing,
+    "op6_fingerprints": op6_fingerprints,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat": op10_chat,
 }
