@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import bpe, chat, embeddings, fingerprint, minhash, packing, warc
+from playlens.llm import bpe, chat, embeddings, fingerprint, minhash, packing, pii, warc
 from playlens.llm.common import small_batches, stage, table
 from playlens.session import ensure_checkpoint_dir
 
@@ -79,6 +79,17 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fp.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
+#: Key of the surrogates in the queries; a user passes a secret one.
+PII_KEY = "playlens"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` with personal data replaced: doc_id, masked text, entities by kind."""
+    done = pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    count = {k: F.size(F.filter("pii_entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS}
+    return done.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), *count.values())
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all whole ``documents``: one row per document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -128,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_packing": op5_packing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat": op10_chat,
 }
