@@ -71,6 +71,11 @@ def may_hold(text: Column) -> Column:
             | text.rlike(PATTERNS["person"]))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chars(s: Column) -> Column:
     return F.when(F.char_length(s) > 0, F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
@@ -86,30 +91,38 @@ def _moved(c: Column, by: Column, alphabets: tuple) -> Column:
 
 def permuted(s: Column, secret: str, kind: str, alphabets: tuple) -> Column:
     """A string under the keyed permutation that keeps every character's alphabet."""
-    half = F.floor(F.char_length(s) / 2).cast("int")
 
     def one(state: Column, r: Column) -> Column:
         left, right = state["l"], state["r"]
         digest = F.sha2(F.concat(F.lit(f"{secret}|{kind}|"), r.cast("string"), F.lit("|"), F.lower(right)), 256)
 
-        def move(c: Column, i: Column) -> Column:
-            by = F.conv(F.substring(digest, F.pmod(i * 4, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
-            return _moved(c, by, alphabets)
+        def moved_by(d: Column) -> Column:
+            def move(c: Column, i: Column) -> Column:
+                by = F.conv(F.substring(d, F.pmod(i * 4, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
+                return _moved(c, by, alphabets)
+
+            return F.array_join(F.transform(_chars(left), move), "")
 
-        return F.struct(right.alias("l"), F.array_join(F.transform(_chars(left), move), "").alias("r"))
+        return F.struct(right.alias("l"), let(digest, moved_by).alias("r"))
 
-    zero = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.char_length(s)).alias("r"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(4)), zero, one)
-    return F.concat(done["l"], done["r"])
+    def rounds(x: Column) -> Column:
+        half = F.floor(F.char_length(x) / 2).cast("int")
+        zero = F.struct(F.substring(x, F.lit(1), half).alias("l"), F.substring(x, half + 1, F.char_length(x)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(4)), zero, one, lambda done: F.concat(done["l"], done["r"]))
+
+    return let(s, rounds)
 
 
 def _refill(s: Column, digits: Column) -> Column:
     """``s`` with its digits replaced, in order, by those of ``digits``."""
-    def put(c: Column, i: Column) -> Column:
-        at = F.char_length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), r"[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substring(digits, at, F.lit(1))).otherwise(c)
+    def filled(new: Column) -> Column:
+        def put(c: Column, i: Column) -> Column:
+            at = F.char_length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), r"[^0-9]", ""))
+            return F.when(c.rlike("[0-9]"), F.substring(new, at, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(_chars(s), put), "")
 
-    return F.array_join(F.transform(_chars(s), put), "")
+    return let(digits, filled)
 
 
 def _only_digits(s: Column) -> Column:
@@ -142,28 +155,35 @@ def _ip(s: Column, secret: str) -> Column:
         return F.struct(state["r"].alias("l"), F.pmod(state["l"] + by, F.lit(65536)).alias("r"))
 
     zero = F.struct((F.get(o, 0) * 256 + F.get(o, 1)).alias("l"), (F.get(o, 2) * 256 + F.get(o, 3)).alias("r"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(4)), zero, one)
-    parts = [F.floor(done["l"] / 256), F.pmod(done["l"], F.lit(256)), F.floor(done["r"] / 256), F.pmod(done["r"], F.lit(256))]
-    return F.concat_ws(".", *(p.cast("string") for p in parts))
+
+    def spelled(done: Column) -> Column:
+        parts = [F.floor(done["l"] / 256), F.pmod(done["l"], F.lit(256)), F.floor(done["r"] / 256), F.pmod(done["r"], F.lit(256))]
+        return F.concat_ws(".", *(p.cast("string") for p in parts))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), zero, one, spelled)
 
 
 def _card(s: Column, secret: str) -> Column:
-    d = _only_digits(s)
-    n = F.char_length(d)
-    payload = F.substring(d, F.lit(1), n - 1)
-    moved = F.concat(F.substring(d, 1, 1), permuted(F.substring(payload, F.lit(2), n), secret, "card", DIGITS))
-    off = F.substring(d, n, F.lit(1)).cast("int") - _luhn(payload)
-    return _refill(s, F.concat(moved, F.pmod(_luhn(moved) + off, F.lit(10)).cast("string")))
+    def of_digits(d: Column) -> Column:
+        n = F.char_length(d)
+        payload = F.substring(d, F.lit(1), n - 1)
+        moved = F.concat(F.substring(d, 1, 1), permuted(F.substring(d, F.lit(2), n - 2), secret, "card", DIGITS))
+        off = F.substring(d, n, F.lit(1)).cast("int") - _luhn(payload)
+        return let(moved, lambda m: F.concat(m, F.pmod(_luhn(m) + off, F.lit(10)).cast("string")))
+
+    return _refill(s, let(_only_digits(s), of_digits))
 
 
 def _phone(s: Column, secret: str) -> Column:
-    """North American numbers keep country code and the first digits of area and exchange."""
-    d = _only_digits(s)
-    head = F.when(F.char_length(d) >= 10, F.char_length(d) - 10).otherwise(0)
-    nat = F.substring(d, head + 1, F.lit(10))
-    rest = permuted(F.concat(F.substring(nat, 2, 2), F.substring(nat, 5, 6)), secret, "phone", DIGITS)
-    return _refill(s, F.concat(F.substring(d, F.lit(1), head), F.substring(nat, 1, 1), F.substring(rest, 1, 2),
-                               F.substring(nat, 4, 1), F.substring(rest, 3, 6)))
+    """Country code and the first digits of area and exchange stay."""
+    def of_digits(d: Column) -> Column:
+        head = F.when(F.char_length(d) >= 10, F.char_length(d) - 10).otherwise(0)
+        nat = F.substring(d, head + 1, F.lit(10))
+        rest = permuted(F.concat(F.substring(nat, 2, 2), F.substring(nat, 5, 6)), secret, "phone", DIGITS)
+        return let(rest, lambda x: F.concat(F.substring(d, F.lit(1), head), F.substring(nat, 1, 1), F.substring(x, 1, 2),
+                                            F.substring(nat, 4, 1), F.substring(x, 3, 6)))
+
+    return _refill(s, let(_only_digits(s), of_digits))
 
 
 def given_names(secret: str) -> dict:
@@ -203,8 +223,8 @@ def entities(text: Column, secret: str) -> Column:
     none = F.array().cast("array<struct<kind:string,entity:string,surrogate:string>>")
 
     def one(m: Column) -> Column:
-        kind = kind_of(m)
-        return F.struct(kind.alias("kind"), m.alias("entity"), surrogate(kind, m, secret).alias("surrogate"))
+        return let(kind_of(m), lambda kind: F.struct(
+            kind.alias("kind"), m.alias("entity"), surrogate(kind, m, secret).alias("surrogate")))
 
     return F.coalesce(F.transform(found, one), none)
 
