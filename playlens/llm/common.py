@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,34 @@ def doc_fold(folds: int, key: str = "doc_id") -> Column:
 def shuffle_tasks(spark: SparkSession) -> int:
     """Partitions that the session gives a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list) -> Iterator[pa.Table]:
+    """Runs of rows with equal bigint ``keys`` from the sorted batches of one task,
+    whole even where a run goes on into the next batch. Runs must be bounded."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys], axis=1)
+        cuts = (np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if held and (ids[lo] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = ids[lo]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``ids`` the smallest id reachable over links (i, j), given both ways."""
+    root = ids.copy()
+    while True:
+        least = root.copy()
+        np.minimum.at(least, i, root[j])
+        if (least == root).all():
+            return root
+        root = least

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import shuffle_tasks, small_batches, stage
+from playlens.llm.common import grouped, local_roots, shuffle_tasks, small_batches, stage
 from playlens.llm.components import connected_components
 
 COSINE = 0.98
 #: Step of a hash on vectors of length one.
 WIDTH = 2.0
 #: Chance that a pair right at the threshold meets in no table.
-MISS = 1e-4
+MISS = 1e-6
 #: Expected classes of one block of a bucket.
 BLOCK = 256
 SEED = 20240601
@@ -135,13 +135,7 @@ def block_links(rows: pa.Table, cosine: float) -> dict | None:
         first[lo:lo + 65536] = (a == b).argmax(axis=1) == rows["tab"][0].as_py()
     links = np.zeros(len(reps), dtype=np.int64)
     np.add.at(links, i[first], rows["copies"].to_numpy()[j[first]])
-    root = reps.copy()
-    while True:
-        least = root.copy()
-        np.minimum.at(least, i, root[j])
-        if (least == root).all():
-            break
-        root = least
+    root = local_roots(reps, i, j)
     hit = near.any(axis=1)
     return {"rep": reps[hit], "root": root[hit], "links": links[hit]}
 
@@ -152,25 +146,8 @@ def linked(reps: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataF
     order = ["tab", "key", "g", "h"]
 
     def run(batches):
-        held: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in order])
-            cuts = np.nonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0))[0] + 1
-            starts = [0, *cuts.tolist()]
-            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
-                part = batch.slice(lo, hi - lo)
-                if held and any(held[0].column(k)[0] != part.column(k)[0] for k in range(4)):
-                    yield from done(held)
-                    held = []
-                held.append(part)
-        yield from done(held)
-
-    def done(parts):
-        if sum(p.num_rows for p in parts) > 1:
-            got = block_links(pa.Table.from_batches(parts), cosine)
-            if got:
+        for rows in grouped(batches, order):
+            if rows.num_rows > 1 and (got := block_links(rows, cosine)):
                 yield pa.RecordBatch.from_pydict(got, schema)
 
     groups = dealt(reps, block).repartition(shuffle_tasks(reps.sparkSession), *order).sortWithinPartitions(*order)
