@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import bpe, chat, embeddings, fingerprint, minhash, packing, pii, warc
-from playlens.llm.common import small_batches, stage, table
+from playlens.llm import bpe, chat, embeddings, fingerprint, langid, minhash, packing, pii, quality, warc
+from playlens.llm.common import doc_fold, small_batches, stage, table
 from playlens.session import ensure_checkpoint_dir
 
 
@@ -58,6 +58,15 @@ FROM d JOIN o USING (payload_digest)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from two of three folds: one row per document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(doc_fold(3) == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return (docs.select("doc_id", held_out.alias("held_out"), model.predict(spark, F.col("text")).alias("p"))
+            .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of 2048 tokens: one row per piece."""
     small_batches(spark)
@@ -90,6 +99,20 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), *count.values())
 
 
+#: Score from which a document counts as good.
+GOOD = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``, learned from four of five folds: one row per document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(doc_fold(5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    model = quality.train(docs, quality.trusted(labels))
+    return (docs.select("doc_id", held_out.alias("held_out"), model.score(spark, F.col("text")).alias("score"))
+            .withColumn("predicted", (F.col("score") >= GOOD).cast("int")))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all whole ``documents``: one row per document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -137,9 +160,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_quality": op8_quality,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_chat": op10_chat,
 }
