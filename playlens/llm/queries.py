@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlens.llm import bpe, chat, embeddings, fingerprint, langid, minhash, packing, pii, quality, warc
@@ -95,8 +95,11 @@ PII_KEY = "playlens"
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with personal data replaced: doc_id, masked text, entities by kind."""
     done = pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    count = {k: F.size(F.filter("pii_entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS}
-    return done.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), *count.values())
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("pii_entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return done.select("doc_id", "text", F.size("pii_entities").cast("long").alias("n_entities"), *map(number, pii.PATTERNS))
 
 
 #: Score from which a document counts as good.
