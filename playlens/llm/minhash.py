@@ -12,10 +12,12 @@ Only the groups that occur in more than one document can meet, so those are
 found first by one count; the rest of the documents leave before tables are
 formed. Copies (equal shingle sets) are one class from the start. Candidates are
 confirmed on full sets in two rounds: first every member of a bucket against the
-bucket's smallest class, then, within buckets that still hold several
-components, the remaining pairs between components, dealt to blocks of bounded
-size so that a hot bucket is spread over many tasks. Pairs inside one
-component need no test, since components are what is asked for.
+bucket's smallest class, then, within tables that still hold several
+components, the remaining pairs between components. For that the members are
+dealt to blocks of bounded size, every two blocks are tested in one matrix
+product, so that a hot bucket is spread over many tasks, and only links that
+connect classes come out; no pair becomes a row. Pairs inside one component
+need no test, since components are what is asked for.
 
 Cases: null text, empty text and text without words have the empty set and link
 with nothing; fewer words than a shingle form one shingle; rows that share a
@@ -30,11 +32,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import small_batches, stage
+from playlens.llm.common import grouped, local_roots, shuffle_tasks, small_batches, stage
 from playlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -147,7 +150,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def tables(cand: DataFrame, *more: str) -> DataFrame:
     """One row per class and table: its key (x, y)."""
-    return cand.select("cls", *more, "a", "b", F.explode("a").alias("x")).withColumn("y", F.explode("b"))
+    return cand.select("cls", *more, "b", F.explode("a").alias("x")).withColumn("y", F.explode("b")).drop("b")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -167,29 +170,87 @@ def stars(cand: DataFrame) -> DataFrame:
     return keyed.join(least, ["x", "y"]).where("cls > lo").select(F.col("cls").alias("hi"), "lo").distinct()
 
 
-def between(cand: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Pairs of one bucket whose components (column comp) differ: hi, lo.
+def mixed_members(cand: DataFrame) -> DataFrame:
+    """Members of tables that hold several components (column comp): x, cls, comp."""
+    keyed = tables(cand, "comp").select("x", "y", "cls", "comp")
+    mixed = (keyed.groupBy("x", "y").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("x", "y"))
+    return keyed.join(mixed, ["x", "y"]).select("x", "cls", "comp").distinct()
 
-    Each pair comes from one table only: that of its smallest common A and B
-    group. A bucket of n members is dealt to ceil(n / block) blocks, and each
-    pair of blocks is a group of its own, so no task holds a whole hot bucket.
+
+def dealt(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per member and pair of blocks that it belongs to: x, g1, k1, g2, k2, cls.
+
+    The tables of one A group x are taken together. A component with a block's
+    worth of members there has blocks of its own (g its id), the rest shares
+    blocks (g = -2**63). Two blocks of one component need no test, so a large
+    group that is linked already costs no pairs of blocks within itself.
+    """
+    sized = members.groupBy("x", "comp").agg(F.count("*").alias("n"))
+    shared = F.lit(-(2**63)).cast("long")
+    group = sized.withColumn("g", F.when(F.col("n") >= block, F.col("comp")).otherwise(shared))
+    counts = group.groupBy("x", "g").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    blocks = counts.select("x", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    one = blocks.select("x", F.col("g").alias("g1"), F.col("k").alias("k1"))
+    two = blocks.select("x", F.col("g").alias("g2"), F.col("k").alias("k2"))
+    pairs = one.join(two, "x").where(((F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("g1") == shared)
+                                                                     & (F.col("k1") <= F.col("k2")))))
+    placed = (members.join(group.select("x", "comp", "g"), ["x", "comp"]).join(counts, ["x", "g"])
+              .select("x", "g", F.pmod(F.xxhash64("cls"), "blocks").alias("k"), "cls"))
+    left = placed.withColumnsRenamed({"g": "g1", "k": "k1"}).join(pairs, ["x", "g1", "k1"])
+    right = (placed.withColumnsRenamed({"g": "g2", "k": "k2"}).join(pairs, ["x", "g2", "k2"])
+             .where("g1 != g2 or k1 != k2"))
+    order = ["x", "g1", "k1", "g2", "k2", "cls"]
+    return left.select(order).union(right.select(order))
+
+
+def block_links(rows: pa.Table, percent: int) -> tuple:
+    """(cls, root) of the members of two blocks that link with any other of them.
+
+    Intersections come from products of the incidence matrix, a band of shingles
+    at a time; shingles of one member only are left out.
     """
-    keyed = tables(cand, "comp", "n_shingles")
-    mixed = (keyed.groupBy("x", "y").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("n"))
-             .where("p < q").select("x", "y", F.ceil(F.col("n") / block).alias("blocks")))
-    dealt = (keyed.join(mixed, ["x", "y"]).withColumn("mine", F.pmod(F.xxhash64("cls"), "blocks"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .withColumns({"g": F.least("mine", "other"), "h": F.greatest("mine", "other")}))
-    one = dealt.select("x", "y", "g", "h", *(F.col(c).alias(f"{c}1") for c in ("cls", "comp", "n_shingles", "mine", "a", "b")))
-    two = dealt.select("x", "y", "g", "h", *(F.col(c).alias(f"{c}2") for c in ("cls", "comp", "n_shingles", "mine", "a", "b")))
-    least, most = F.least("n_shingles1", "n_shingles2"), F.greatest("n_shingles1", "n_shingles2")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("x", "y", "g", "h")]
-    met = one.alias("l").join(two.alias("r"), [
-        *same, F.col("cls1") > F.col("cls2"), F.col("comp1") != F.col("comp2"), 100 * least >= percent * most,
-        (F.col("mine1") != F.col("mine2")) | (F.col("l.g") == F.col("l.h")),
-        F.array_min(F.array_intersect("a1", "a2")) == F.col("l.x"),
-        F.array_min(F.array_intersect("b1", "b2")) == F.col("l.y")])
-    return met.select(F.col("cls1").alias("hi"), F.col("cls2").alias("lo"))
+    lists = rows["shingles"].combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    of = np.repeat(np.arange(len(lists)), lengths)
+    _, column, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    often = df > 1
+    at = np.cumsum(often) - 1
+    keep = often[column]
+    of, column = of[keep], at[column[keep]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(lists), len(lists)), dtype=np.float32)
+    width = 4096
+    for lo in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        held = np.zeros((len(lists), width), dtype=np.float32)
+        held[of[a:b], column[a:b] - lo] = 1
+        both += held @ held.T
+    either = lengths[:, None] + lengths - both
+    near = 100 * both >= percent * either
+    np.fill_diagonal(near, False)
+    i, j = np.nonzero(near)
+    ids = rows["cls"].to_numpy()
+    root = local_roots(ids, i, j)
+    moved = root != ids
+    return ids[moved], root[moved]
+
+
+def between(cand: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links between components (column comp) that share a table, as (hi, lo) rows
+    that connect the same classes. Pairs are tested inside blocks and never become rows."""
+    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64())])
+    keys = ["x", "g1", "k1", "g2", "k2"]
+
+    def run(batches):
+        for rows in grouped(batches, keys):
+            hi, lo = block_links(rows, percent)
+            if len(hi):
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], schema=schema)
+
+    groups = dealt(mixed_members(cand), block).join(sets, "cls")
+    return (groups.repartition(shuffle_tasks(cand.sparkSession), *keys).sortWithinPartitions(*keys)
+            .mapInArrow(run, "hi long, lo long").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stage(confirm(stars(cand), sets, percent), "links")
     comps = connected_components(links)
     labelled = cand.join(comps.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    more = stage(confirm(between(labelled, percent), sets, percent), "more-links")
+    more = stage(between(labelled, sets, percent), "more-links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
     of_class = (classes.select("digest", "cls").join(comps.withColumnRenamed("id", "cls"), "cls", "left")
