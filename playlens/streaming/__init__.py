@@ -1 +1 @@
-from playlens.streaming.ingest import dedup_within_watermark, ingest_raw_events, typed_stream  # noqa: F401
+from playlens.streaming.ingest import ingest_raw_events, typed_stream  # noqa: F401

@@ -1,25 +1,20 @@
 """Incremental ingestion of raw exports into the typed event table.
 
-The reference cleans one static table. When exports keep arriving, its
-first steps - id repair, typing (C01-C03) and removal of identical copies
-(C06) - are row-local or keyed by the full row, so they run as a
-Structured Streaming query: new files are repaired and typed as they
-arrive, and copies are dropped within an event-time watermark (copies of
-one event share its timestamp). The later steps need whole sessions,
-users and levels and stay batch jobs over the ingested table.
+The reference cleans one static table. When exports keep arriving, its row-local
+first steps - id repair and typing (C01-C03) - run as a Structured Streaming
+query that appends every row, however late its event time. Copies of an event
+may arrive in any file at any time, so their removal (C06) stays a step of the
+batch chain over the ingested table, as do the later steps, which need whole
+sessions, users and levels.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from playlens.model import ALL14, RAW_SCHEMA
+from playlens.model import RAW_SCHEMA
 from playlens.operators.repair import typed_events
-from playlens.session import ensure_checkpoint_dir
-
-EVENT_TIME = "_event_time"
 
 
 def typed_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -33,28 +28,12 @@ def typed_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return typed_events(reader.load(path))
 
 
-def dedup_within_watermark(typed: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop identical copies whose event times are within ``delay`` of the
-    stream's progress (event_timestamp is epoch microseconds). Rows
-    without a timestamp cannot be placed in event time and pass through."""
-    timed = typed.withColumn(EVENT_TIME, F.timestamp_micros("event_timestamp"))
-    deduped = (timed.where(F.col(EVENT_TIME).isNotNull())
-               .withWatermark(EVENT_TIME, delay)
-               .dropDuplicatesWithinWatermark(ALL14)
-               .select(*ALL14))
-    return deduped.unionByName(timed.where(F.col(EVENT_TIME).isNull()).select(*ALL14))
-
-
-def ingest_raw_events(spark: SparkSession, source: str, sink: str, fmt: str = "parquet",
-                      delay: str = "1 day", checkpoint: str | None = None,
+def ingest_raw_events(spark: SparkSession, source: str, sink: str, checkpoint: str, fmt: str = "parquet",
                       available_now: bool = True) -> StreamingQuery:
-    """Start the ingestion query: raw files -> repaired, typed, deduplicated
-    rows appended to parquet at ``sink``. The query's progress lives under
-    the session's checkpoint folder unless ``checkpoint`` is given."""
-    if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/playlens-ingest/{abs(hash(sink))}"
-    out = dedup_within_watermark(typed_stream(spark, source, fmt), delay)
-    writer = (out.writeStream.format("parquet").outputMode("append")
+    """Start the ingestion query: raw files -> repaired, typed rows appended to
+    parquet at ``sink``. ``checkpoint`` is the query's progress folder: the same
+    path after a restart goes on where the last run ended."""
+    writer = (typed_stream(spark, source, fmt).writeStream.format("parquet").outputMode("append")
               .option("path", sink).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
