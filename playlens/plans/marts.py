@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import ratio, round6
-from playlens.model import FAIL, LEVEL_START, SUCCESS
+from playlens.model import FAIL, LEVEL_START, SUCCESS, TABLE_KEYS
 from playlens.plans.difficulty import level_stats
 from playlens.plans.dropoff import level_dropoff as _level_dropoff
 from playlens.sources.readers import write_table
@@ -85,17 +85,6 @@ def build_marts(clean: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-# Key of each output table, used to order its preview (the reference's
-# TOP 10 has no ORDER BY).
-TABLE_KEYS = {
-    "game_events_clean": ["user_id", "event_timestamp", "batch_event_index"],
-    "level_dropoff": ["level"],
-    "level_difficulty": ["level"],
-    "user_progression": ["user_id"],
-    "level_summary": ["level"],
-}
-
-
 def preview(tables: dict[str, DataFrame], n: int = 10) -> dict[str, DataFrame]:
     """The first ``n`` rows of each output table by its key (a top-k,
     planned as TakeOrderedAndProject)."""

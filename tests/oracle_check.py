@@ -8,7 +8,7 @@ import math
 
 import duckdb
 
-TABLES = ["events"]
+TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def duck(sf_dir: str):
