@@ -1,5 +1,4 @@
 from playlens.functions.columns import (  # noqa: F401
-    count_where,
     level_gap_pick,
     ratio,
     repaired_text,

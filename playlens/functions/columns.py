@@ -26,11 +26,6 @@ def success_flag(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
-def count_where(cond: Column) -> Column:
-    """SUM(CASE WHEN cond THEN 1 ELSE 0 END) as a bigint."""
-    return F.count_if(cond)
-
-
 def ratio(num: Column, den: Column) -> Column:
     """num * 1.0 / den as DOUBLE rounded to 6 decimals; NULL when den is 0."""
     return round6(F.try_divide(num.cast("double"), den.cast("double")))

@@ -1,62 +1,71 @@
 """Two-sided nearest-in-time lookup within a key (an as-of join in both
-directions), without a self-join and without one window per key.
+directions), without a self-join.
 
-Rows are windowed per ``(key, time bucket)`` (see ``buckets``); each bucket also receives the
-last and first candidate of the nearest earlier and later non-empty buckets
-of its key, taken from a per-bucket summary. A key holding a third of the
-data is therefore spread over many buckets (many tasks), and the only
-per-key window runs over bucket summaries (one row per bucket).
+Both directions are running frames from the start of a sorted partition (the
+later neighbour by a descending sort), so a partition of n rows costs n steps.
+Keys above the target row count are cut into ranges (see ``buckets``); a range
+takes what its own rows lack from the nearest earlier and later range of its
+key, carried over one summary row per range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlens.operators.buckets import DEFAULT_BUCKET, with_buckets
+from playlens.operators.buckets import split_hot
+
+BEFORE = Window.unboundedPreceding
+
+
+def _structs(ts: str) -> tuple[Column, Column]:
+    """Candidates as (time, -value) for the latest before and (time, value) for the first after."""
+    earlier = F.when(F.col("_cand"), F.struct(F.col(ts).alias("t"), (-F.col("_v")).alias("v")))
+    later = F.when(F.col("_cand"), F.struct(F.col(ts).alias("t"), F.col("_v").alias("v")))
+    return earlier, later
+
+
+def _within(both: DataFrame, part: list[str], ts: str) -> DataFrame:
+    """Targets with the nearest candidate at or before (_prv) and at or after (_nxt) in their partition."""
+    earlier, later = _structs(ts)
+    up = Window.partitionBy(*part).orderBy(F.col(ts).asc()).rangeBetween(BEFORE, Window.currentRow)
+    down = Window.partitionBy(*part).orderBy(F.col(ts).desc()).rangeBetween(BEFORE, Window.currentRow)
+    return both.select("*", F.max(earlier).over(up).alias("_prv"), F.min(later).over(down).alias("_nxt")).where(~F.col("_cand"))
+
+
+def _across(both: DataFrame, key: str, ts: str) -> DataFrame:
+    """The same over the ranges of hot keys."""
+    earlier, later = _structs(ts)
+    up = Window.partitionBy(key).orderBy(F.col("_b").asc()).rowsBetween(BEFORE, -1)
+    down = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(BEFORE, -1)
+    carried = (both.groupBy(key, "_b").agg(F.max(earlier).alias("_last"), F.min(later).alias("_first"))
+               .select(key, "_b", F.max("_last").over(up).alias("_cprv"), F.min("_first").over(down).alias("_cnxt")))
+    return (_within(both, [key, "_b"], ts).join(carried, [key, "_b"], "left")
+            .withColumns({"_prv": F.coalesce("_prv", "_cprv"), "_nxt": F.coalesce("_nxt", "_cnxt")})
+            .drop("_b", "_cprv", "_cnxt"))
 
 
 def nearest_by_time(targets: DataFrame, candidates: DataFrame, key: str, ts: str, value: str,
-                    out: str, bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
+                    out: str, target_rows: int | None = None) -> DataFrame:
     """For each target row, ``out`` = the ``value`` of the candidate of the
     same ``key`` nearest in ``ts`` (either direction); on equal distance the
     smallest value. NULL when the key has no candidate.
 
     ``targets`` and ``candidates`` must have non-null ``key`` and ``ts``;
-    candidates must have a non-null ``value``.
+    candidates must have a non-null ``value``. Runs a job that counts the keys.
     """
     cand = candidates.select(key, ts, F.col(value).alias("_v")).withColumn("_cand", F.lit(True))
-    tgt = targets.withColumn("_cand", F.lit(False))
-    both = with_buckets(tgt.unionByName(cand, allowMissingColumns=True), [key], ts, "_b", bucket_width)
-
-    w = Window.partitionBy(key, "_b").orderBy(ts)
-    prev_struct = F.when(F.col("_cand"), F.struct(F.col(ts).alias("t"), (-F.col("_v")).alias("v")))
-    next_struct = F.when(F.col("_cand"), F.struct(F.col(ts).alias("t"), F.col("_v").alias("v")))
-    windowed = both.select(
-        "*",
-        F.max(prev_struct).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("_prv"),
-        F.min(next_struct).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("_nxt"),
-    ).where(~F.col("_cand"))
-
-    # Per-bucket summary of candidates (buckets holding only targets get
-    # NULLs), then carry across the buckets of a key.
-    wb = Window.partitionBy(key).orderBy("_b")
-    carried = (both.groupBy(key, "_b")
-               .agg(F.max(prev_struct).alias("_last"), F.min(next_struct).alias("_first"))
-               .select(key, "_b",
-                       F.max("_last").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_cprv"),
-                       F.min("_first").over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_cnxt")))
-
-    joined = windowed.join(carried, [key, "_b"], "left")
-    prv = F.coalesce(F.col("_prv"), F.col("_cprv"))
-    nxt = F.coalesce(F.col("_nxt"), F.col("_cnxt"))
-    d_prev = F.col(ts) - prv["t"]
-    d_next = nxt["t"] - F.col(ts)
-    u_prev = -prv["v"]
-    u_next = nxt["v"]
+    both = targets.withColumn("_cand", F.lit(False)).unionByName(cand, allowMissingColumns=True)
+    ordinary, hot = split_hot(both, [key], [ts], "_b", target_rows)
+    found = _within(ordinary, [key], ts)
+    if hot is not None:
+        found = found.unionByName(_across(hot, key, ts))
+    prv, nxt = F.col("_prv"), F.col("_nxt")
+    d_prev, d_next = F.col(ts) - prv["t"], nxt["t"] - F.col(ts)
+    u_prev, u_next = -prv["v"], nxt["v"]
     pick = (F.when(prv.isNull(), u_next)
             .when(nxt.isNull(), u_prev)
             .when(d_prev < d_next, u_prev)
             .when(d_next < d_prev, u_next)
             .otherwise(F.least(u_prev, u_next)))
-    return joined.withColumn(out, pick).drop("_cand", "_b", "_prv", "_nxt", "_cprv", "_cnxt", "_v")
+    return found.withColumn(out, pick).drop("_cand", "_prv", "_nxt", "_v")

@@ -1,12 +1,11 @@
-"""Time buckets for windows that must not hold a whole key.
-
-Windows over a key's timeline are partitioned by (key, time bucket). A
-fixed width leaves a very active key with very full buckets, so keys whose
-row count exceeds what one bucket should hold get a width derived from
-their own density (rows per unit of time); all other keys keep the default.
-Hot keys are found with one partial aggregate and a top-k; there are at
-most ``max_hot`` of them by construction, so the table of their widths is
-broadcast with a known bound.
+"""Splitting the timelines of very active keys over many tasks.
+
+A window over a key's rows holds the whole key in one task. That is right for
+ordinary keys; a key with more than ``TARGET_ROWS`` rows is instead cut into
+ranges of about that many rows by Spark's own range partitioning over the full
+sort order (key, then the window's order columns), so bursts, quiet years and rows
+without a timestamp are all split by rows. Neighbouring ranges are then joined by
+what they have at their edges (see ``timeline`` and ``asof``).
 """
 
 from __future__ import annotations
@@ -14,34 +13,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One hour of the microsecond timestamps used by the event table.
-DEFAULT_BUCKET = 3_600_000_000
-# Rows one bucket (one window partition) should hold at most, roughly.
+from playlens.session import stage_table, staging
+
+# Rows one window partition should hold at most, roughly.
 TARGET_ROWS = 2_000_000
-# At most this many keys get their own width.
-MAX_HOT = 1000
 
 
-def with_buckets(df: DataFrame, keys: list[str], ts: str, out: str = "_b",
-                 default_width: int = DEFAULT_BUCKET, target_rows: int | None = None,
-                 max_hot: int | None = None, null_bucket: int | None = None) -> DataFrame:
-    """Add ``out`` = ``ts div width(key)`` (``null_bucket`` when ``ts`` is NULL)."""
+def split_hot(df: DataFrame, keys: list[str], order: list, out: str = "_b",
+              target_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys with their range ``out`` or None).
+
+    Keys must not be NULL. ``out`` ascends with ``order`` within a key and rows
+    that are equal in ``order`` share a range. Counting the keys runs a job, and so
+    does writing the hot rows where there are any; every key above the target is
+    split, however many there are. Where stage tables are off nothing is split.
+    """
+    if not staging():
+        return df, None
     target_rows = target_rows or TARGET_ROWS
-    max_hot = max_hot or MAX_HOT
-    stats = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    span = (F.col("_t1") - F.col("_t0") + 1).cast("double")
-    width = F.least(F.lit(default_width),
-                    F.greatest(F.lit(1), F.floor(span * target_rows / F.col("_rows")))).cast("long")
-    # The largest keys above the target, at most ``max_hot`` of them (a
-    # top-k); any further big key keeps the default width.
-    hot = (stats.where(F.col("_rows") > target_rows).orderBy(F.col("_rows").desc()).limit(max_hot)
-           .select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], width.alias("_w")))
-    cond = None
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"_hk{i}"))
-        cond = c if cond is None else cond & c
-    joined = df.join(F.broadcast(hot), cond, "left")
-    bucket = F.expr(f"`{ts}` div coalesce(_w, {int(default_width)})")
-    if null_bucket is not None:
-        bucket = F.coalesce(bucket, F.lit(null_bucket))
-    return joined.withColumn(out, bucket).drop("_w", *[f"_hk{i}" for i in range(len(keys))])
+    hot = stage_table(df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > target_rows), "hot_keys")
+    total = hot.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return df, None
+    rows = df.join(hot.drop("_rows"), keys, "left_semi")
+    ranged = rows.repartitionByRange(-(-total // target_rows) + 1, *keys, *order).withColumn(out, F.spark_partition_id())
+    # Written once: the ranges come from a sample and must not be drawn again.
+    return df.join(hot.drop("_rows"), keys, "left_anti"), stage_table(ranged, "hot_rows")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.operators.asof import DEFAULT_BUCKET, nearest_by_time
+from playlens.operators.asof import nearest_by_time
 from playlens.operators.ranking import dense_rank_global
 from playlens.session import stage_table
 
@@ -64,7 +64,7 @@ def fill_user_single_session(df: DataFrame) -> DataFrame:
     return known.unionByName(_apply(nulls, _single_user_sessions(known), SESSION))
 
 
-def _fill_nearest(known: DataFrame, nulls: DataFrame, bucket_width: int) -> DataFrame:
+def _fill_nearest(known: DataFrame, nulls: DataFrame, target_rows: int | None) -> DataFrame:
     cols = nulls.columns
     eligible = F.col(SESSION).isNotNull() & F.col(TS).isNotNull()
     targets = nulls.where(eligible)
@@ -72,17 +72,17 @@ def _fill_nearest(known: DataFrame, nulls: DataFrame, bucket_width: int) -> Data
     sessions = targets.select(SESSION).distinct()
     cands = (known.where(eligible).select(SESSION, TS, USER)
              .join(sessions, SESSION, "left_semi"))
-    filled = nearest_by_time(targets, cands, SESSION, TS, USER, "_fill", bucket_width)
+    filled = nearest_by_time(targets, cands, SESSION, TS, USER, "_fill", target_rows)
     filled = filled.withColumn(USER, F.coalesce(F.col(USER), F.col("_fill"))).select(*cols)
     return filled.unionByName(rest)
 
 
-def fill_user_nearest(df: DataFrame, bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
+def fill_user_nearest(df: DataFrame, target_rows: int | None = None) -> DataFrame:
     """A NULL user takes the known user of the same session whose event
     is nearest in time (either direction; equal distance -> smaller id).
     Rows without a timestamp, and known rows without one, take no part."""
     known, nulls = _split(df)
-    return known.unionByName(_fill_nearest(known, nulls, bucket_width))
+    return known.unionByName(_fill_nearest(known, nulls, target_rows))
 
 
 def _fill_surrogate(nulls: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def fill_user_surrogate(df: DataFrame) -> DataFrame:
     return known.unionByName(_fill_surrogate(nulls))
 
 
-def repair_user_ids(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, stage: bool = True) -> DataFrame:
+def repair_user_ids(df: DataFrame, target_rows: int | None = None) -> DataFrame:
     """C11 -> C12 -> C13 in sequence, with the known rows read once.
 
     The rows that had no user (a small share) are materialised after C12,
@@ -108,9 +108,8 @@ def repair_user_ids(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, stage: bo
     known, nulls = _split(df)
     step1 = _apply(nulls, _single_user_sessions(known), SESSION)
     done1, open1 = step1.where(F.col(USER).isNotNull()), step1.where(F.col(USER).isNull())
-    after = done1.unionByName(_fill_nearest(known, open1, bucket_width))
-    if stage:
-        after = stage_table(after, "user_fill")
+    after = done1.unionByName(_fill_nearest(known, open1, target_rows))
+    after = stage_table(after, "user_fill")
     done2, open2 = after.where(F.col(USER).isNotNull()), after.where(F.col(USER).isNull())
     return known.unionByName(done2).unionByName(_fill_surrogate(open2))
 

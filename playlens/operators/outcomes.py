@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions.columns import round6
 from playlens.model import SUCCESS, FAIL
-from playlens.session import stage_table
+from playlens.session import stage_table, staging
 
 T = "time_played"
 S = "is_success"
@@ -23,35 +23,32 @@ def _key_cols(keys: list[str], prefix: str):
     return cols
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str, ranges: int = 64,
-                 materialize: bool = True) -> DataFrame:
+#: Distinct values that one range of the median search should hold.
+RANGE_ROWS = 1_000_000
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, range_rows: int | None = None) -> DataFrame:
     """Exact PERCENTILE_CONT(0.5) of ``value`` per ``keys`` (NULL values
     ignored), rounded to 6 decimals.
 
     1. count rows per (keys, value) - a partial aggregate, so a hot group
        shrinks to its distinct values before any shuffle;
-    2. cut each group's distinct values into ``ranges`` ranges at approximate
-       quantiles (a bounded sketch per group) and count rows per range;
+    2. range-partition the distinct values by (keys, value), with as many ranges
+       as their estimated number asks for, and count rows per range;
     3. from running counts over the ranges (a few rows per group), keep only
        the one or two ranges holding the middle ranks, and find the exact
        middle values by a window over those ranges alone.
 
-    No task ever holds more than about 1/``ranges`` of a group's values.
+    A range holds about ``range_rows`` distinct values however many there are.
+    Runs jobs while the plan is built: an estimate and the write of the ranges.
     """
-    fractions = [i / ranges for i in range(1, ranges)]
-    vc = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-          .select("*", *_key_cols(keys, "_g")))
+    known = df.where(F.col(value).isNotNull())
+    distinct = known.agg(F.approx_count_distinct(F.struct(*keys, value))).first()[0]
+    ranges = distinct // (range_rows or RANGE_ROWS) + 1 if staging() else 1
+    vc = known.groupBy(*keys, value).agg(F.count("*").alias("_c")).select("*", *_key_cols(keys, "_g"))
     gk = [f"_g{i}{t}" for i in range(len(keys)) for t in "vn"]
-    if fractions:
-        cuts = vc.groupBy(*gk).agg(F.percentile_approx(value, fractions, 10000).alias("_cuts"))
-        vc = (vc.join(cuts, gk).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-              .drop("_cuts"))
-    else:
-        vc = vc.withColumn("_r", F.lit(0))
-    if materialize:
-        # The cut points depend on merge order; both branches below must see
-        # the same range of every value, also after a recomputation.
-        vc = stage_table(vc, "median_values")
+    # Written once: the ranges come from a sample and both branches below must see the same.
+    vc = stage_table(vc.repartitionByRange(ranges, *gk, value).withColumn("_r", F.spark_partition_id()), "median_values")
 
     per_range = vc.groupBy(*gk, "_r").agg(F.sum("_c").alias("_rc"))
     w = Window.partitionBy(*gk).orderBy("_r")
@@ -162,7 +159,7 @@ def drop_inconsistent(df: DataFrame) -> DataFrame:
     return df.where(~_inconsistent())
 
 
-def repair_outcomes(df: DataFrame, materialize: bool = True) -> DataFrame:
+def repair_outcomes(df: DataFrame) -> DataFrame:
     """C32 -> C34 -> C39 in one pass.
 
     One median table serves both fills: the C32 fill adds copies of a
@@ -170,10 +167,8 @@ def repair_outcomes(df: DataFrame, materialize: bool = True) -> DataFrame:
     median unchanged, so C34's medians equal those before C32.
     """
     cols = df.columns
-    m = median_by_level_outcome(df, require_level=False)
-    if materialize:
-        # Two lookups read the median table (one row per level and outcome).
-        m = stage_table(m, "medians")
+    # Two lookups read the median table (one row per level and outcome).
+    m = stage_table(median_by_level_outcome(df, require_level=False), "medians")
     by_outcome = m.where(F.col(L).isNotNull())
     sf = success_fail_medians(df, m)
     tgt_cond = _time_fill_targets() | _outcome_targets()

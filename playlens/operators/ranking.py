@@ -1,9 +1,8 @@
 """Dense global rank without a single-partition window.
 
-``ROW_NUMBER() OVER (ORDER BY k)`` with no partition runs in one task. Here
-the distinct keys are cut into ranges at approximate quantiles; each range
-is ranked by its own window and shifted by the number of keys in all lower
-ranges (a table of one row per range).
+The distinct keys are range-partitioned, each range is ranked by itself, and
+shifted by the number of keys in all lower ranges (one row per range). The ranges
+are Spark's own, so the plan does not grow with their number.
 """
 
 from __future__ import annotations
@@ -11,27 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlens.session import stage_table, staging
+
 
 def dense_rank_global(df: DataFrame, key: str, out: str = "rank", ranges: int | None = None) -> DataFrame:
-    """Distinct non-null ``key`` values with their dense rank (1 = smallest)."""
-    spark = df.sparkSession
-    if ranges is None:
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 8)
+    """Distinct non-null ``key`` values with their dense rank (1 = smallest).
+
+    Writes the distinct keys as a stage table (a job runs while the plan is
+    built). Without ``ranges`` the session's shuffle partitions are used, which
+    adaptive execution coalesces to its advisory size.
+    """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    fractions = [i / ranges for i in range(1, ranges)]
-    # The cut points are a bounded summary (ranges - 1 numbers).
-    cuts = keys.agg(F.percentile_approx(key, fractions, 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    if cuts:
-        lit_cuts = F.array(*[F.lit(c).cast(df.schema[key].dataType) for c in cuts])
-        keys = keys.withColumn("_r", F.size(F.filter(lit_cuts, lambda c: c < F.col(key))))
-    else:
-        keys = keys.withColumn("_r", F.lit(0))
+    if not staging():
+        ranges = 1
+    dealt = keys.repartitionByRange(ranges, key) if ranges else keys.repartitionByRange(key)
+    keys = stage_table(dealt.withColumn("_r", F.spark_partition_id()), "rank_keys")
     sizes = keys.groupBy("_r").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(
-        "_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)).alias("_off"))
+    below = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_r").alias("_s"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
     local = keys.withColumn("_local", F.row_number().over(Window.partitionBy("_r").orderBy(key)))
-    # ``offsets`` has one row per range: its size is bounded by ``ranges``.
-    ranked = local.join(F.broadcast(offsets), "_r")
+    # One row per range: bounded by the number of shuffle partitions.
+    ranked = local.join(F.broadcast(offsets), F.col("_r") == F.col("_s"))
     return ranked.select(key, (F.col("_off") + F.col("_local")).cast("long").alias(out))

@@ -1,11 +1,9 @@
 """Level timeline and level inference.
 
-``LAG``/``LEAD`` over each user's events would put all of one user's rows in
-one window partition. Instead rows are windowed per (user, time bucket)
-(see ``buckets``); the first and last row of each bucket take their outer
-neighbour from a per-bucket summary (first and last event of the nearest
-non-empty bucket before and after), so a very active user is spread over
-many tasks.
+Ordinary users take one window per user: one shuffle of their rows. Users above
+the target row count are cut into ranges of rows (see ``buckets``); the first and
+last row of a range take their outer neighbour from a summary with the first and
+last event of each range, so a very active user is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,11 +13,11 @@ from pyspark.sql import functions as F
 
 from playlens.functions.columns import level_gap_pick
 from playlens.model import SUCCESS, FAIL, TIMELINE_ORDER
-from playlens.operators.buckets import DEFAULT_BUCKET, with_buckets
+from playlens.operators.buckets import split_hot
 
 USER = "user_id"
-LONG_MIN = -(2**63)
-KEYS = ["_uk", "_un", "_b"]
+USER_KEYS = ["_uk", "_un"]
+KEYS = [*USER_KEYS, "_b"]
 
 
 def null_level_backup(df: DataFrame) -> DataFrame:
@@ -37,24 +35,14 @@ def drop_isolated_null_level(df: DataFrame) -> DataFrame:
     return df.where(F.col("level").isNotNull()).unionByName(nulls.join(singles, USER, "left_anti"))
 
 
-def _keyed(df: DataFrame, bucket_width: int) -> DataFrame:
-    # NULL user ids form their own group, NULL timestamps sort first.
-    keyed = df.withColumns({
-        "_uk": F.coalesce(F.col(USER), F.lit(0).cast("long")),
-        "_un": F.col(USER).isNull(),
-    })
-    return with_buckets(keyed, ["_uk", "_un"], "event_timestamp", "_b", bucket_width, null_bucket=LONG_MIN)
+def _order() -> list:
+    return [F.col(c).asc_nulls_first() for c in TIMELINE_ORDER]
 
 
-def level_timeline(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, with_user_rows: bool = False) -> DataFrame:
-    """Previous level, previous outcome and next level of each event in
-    its user's order (timestamp, batch index, then the remaining columns);
-    immediate neighbours, NULLs not skipped, across sessions."""
-    cols = df.columns
-    keyed = _keyed(df, bucket_width)
-    order = [F.col(c).asc_nulls_first() for c in TIMELINE_ORDER]
-    w = Window.partitionBy(*KEYS).orderBy(*order)
-    inner = keyed.select(
+def _neighbours(rows: DataFrame, part: list[str]) -> DataFrame:
+    """Add the neighbours within ``part``: _pl, _ps, _nl; _hp / _hn are NULL at its ends."""
+    w = Window.partitionBy(*part).orderBy(*_order())
+    return rows.select(
         "*",
         F.lag(F.lit(1)).over(w).alias("_hp"),
         F.lead(F.lit(1)).over(w).alias("_hn"),
@@ -62,28 +50,42 @@ def level_timeline(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, with_user_
         F.lag("is_success").over(w).alias("_ps"),
         F.lead("level").over(w).alias("_nl"),
     )
+
+
+def _across_ranges(rows: DataFrame) -> DataFrame:
+    """The neighbours of hot users' rows, over the ends of their ranges."""
     ev = F.struct(*[F.col(c) for c in TIMELINE_ORDER])
-    summary = keyed.groupBy(*KEYS).agg(F.min(ev).alias("_first"), F.max(ev).alias("_last"),
-                                       F.count("*").alias("_cnt"))
-    wb = Window.partitionBy("_uk", "_un").orderBy("_b")
-    summary = summary.select(
-        *KEYS,
-        F.lag("_last").over(wb).alias("_plast"),
-        F.lead("_first").over(wb).alias("_nfirst"),
-        F.sum("_cnt").over(Window.partitionBy("_uk", "_un")).alias("_user_rows"),
-    )
-    edge = F.col("_hp").isNull() | F.col("_hn").isNull()
-    middle = inner.where(~edge).select(*cols, "_pl", "_ps", "_nl", F.lit(None).cast("long").alias("_user_rows"))
-    edges = inner.where(edge).join(summary, KEYS, "left").select(
-        *cols,
-        F.when(F.col("_hp").isNull(), F.col("_plast.level")).otherwise(F.col("_pl")).alias("_pl"),
-        F.when(F.col("_hp").isNull(), F.col("_plast.is_success")).otherwise(F.col("_ps")).alias("_ps"),
-        F.when(F.col("_hn").isNull(), F.col("_nfirst.level")).otherwise(F.col("_nl")).alias("_nl"),
-        "_user_rows",
-    )
-    out = middle.unionByName(edges).withColumnsRenamed(
-        {"_pl": "prev_level", "_ps": "prev_success", "_nl": "next_level"})
-    return out if with_user_rows else out.drop("_user_rows")
+    by_range = Window.partitionBy(*USER_KEYS).orderBy("_b")
+    ends = (rows.groupBy(*KEYS).agg(F.min(ev).alias("_first"), F.max(ev).alias("_last"))
+            .select(*KEYS, F.lag("_last").over(by_range).alias("_plast"), F.lead("_first").over(by_range).alias("_nfirst")))
+    at_start, at_end = F.col("_hp").isNull(), F.col("_hn").isNull()
+    inner = _neighbours(rows, KEYS)
+    edges = inner.where(at_start | at_end).join(ends, KEYS, "left").withColumns({
+        "_pl": F.when(at_start, F.col("_plast.level")).otherwise(F.col("_pl")),
+        "_ps": F.when(at_start, F.col("_plast.is_success")).otherwise(F.col("_ps")),
+        "_nl": F.when(at_end, F.col("_nfirst.level")).otherwise(F.col("_nl")),
+    }).drop("_plast", "_nfirst")
+    return inner.where(~(at_start | at_end)).unionByName(edges).drop("_b")
+
+
+def level_timeline(df: DataFrame, target_rows: int | None = None, with_user_rows: bool = False) -> DataFrame:
+    """Previous level, previous outcome and next level of each event in
+    its user's order (timestamp, batch index, then the remaining columns);
+    immediate neighbours, NULLs not skipped, across sessions. Runs a job that
+    counts the users' rows."""
+    cols = df.columns
+    # NULL user ids form their own group, NULL timestamps sort first.
+    keyed = df.withColumns({"_uk": F.coalesce(F.col(USER), F.lit(0).cast("long")), "_un": F.col(USER).isNull()})
+    ordinary, hot = split_hot(keyed, USER_KEYS, _order(), "_b", target_rows)
+    found = _neighbours(ordinary, USER_KEYS)
+    rows = F.lit(None).cast("long")
+    if with_user_rows:
+        found = found.withColumn("_user_rows", F.count("*").over(Window.partitionBy(*USER_KEYS)))
+    if hot is not None:
+        across = _across_ranges(hot)
+        found = found.unionByName(across.withColumn("_user_rows", rows) if with_user_rows else across)
+    named = [F.col("_pl").alias("prev_level"), F.col("_ps").alias("prev_success"), F.col("_nl").alias("next_level")]
+    return found.select(*cols, *named, *(["_user_rows"] if with_user_rows else []))
 
 
 def _inferred(preview: bool):
@@ -99,13 +101,13 @@ def _inferred(preview: bool):
     return F.when(F.col("level").isNull(), expr)
 
 
-def infer_level(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, drop_isolated: bool = False) -> DataFrame:
+def infer_level(df: DataFrame, target_rows: int | None = None, drop_isolated: bool = False) -> DataFrame:
     """C29 (update variant): fill NULL levels from the neighbours; runs of
     NULLs and unmatched patterns stay NULL. With ``drop_isolated`` the C27
     deletion is applied in the same pass (it removes only the sole event of
     a user, which is nobody's neighbour)."""
     cols = df.columns
-    tl = level_timeline(df, bucket_width, with_user_rows=drop_isolated)
+    tl = level_timeline(df, target_rows, with_user_rows=drop_isolated)
     if drop_isolated:
         isolated = (F.col("level").isNull() & F.col(USER).isNotNull()
                     & (F.coalesce(F.col("_user_rows"), F.lit(2)) == 1))
@@ -113,9 +115,9 @@ def infer_level(df: DataFrame, bucket_width: int = DEFAULT_BUCKET, drop_isolated
     return tl.withColumn("level", F.coalesce(F.col("level"), _inferred(False).cast("int"))).select(*cols)
 
 
-def infer_level_preview(df: DataFrame, bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
+def infer_level_preview(df: DataFrame, target_rows: int | None = None) -> DataFrame:
     """Rows without a level for which the preview rules propose one."""
-    tl = level_timeline(df, bucket_width).withColumn("inferred_level", _inferred(True).cast("int"))
+    tl = level_timeline(df, target_rows).withColumn("inferred_level", _inferred(True).cast("int"))
     return (tl.where(F.col("level").isNull() & F.col("inferred_level").isNotNull())
             .select(USER, "event_timestamp", "prev_level", "prev_success", "next_level", "inferred_level")
             .orderBy(F.col(USER).asc_nulls_first(), F.col("event_timestamp").asc_nulls_first()))

@@ -17,69 +17,80 @@ repeated (a test asserts that it is a no-op).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from playlens.operators.asof import DEFAULT_BUCKET
 from playlens.operators.attributes import ATTRIBUTES, fill_cascade, fill_mode_for_entity
 from playlens.operators.dedup import exact_dedup
 from playlens.operators.identity import repair_user_ids
 from playlens.operators.outcomes import repair_outcomes
 from playlens.operators.repair import typed_events
 from playlens.operators.timeline import infer_level, null_level_backup
-from playlens.plans.staging import stage
+from playlens.session import StageScope, stage_table
 from playlens.sources.readers import write_table
 
 
 @dataclass
 class CleanConfig:
     # Entities whose NULL batch index takes their own mode (C16); the
-    # reference hard-codes one player id, the fixture's analogue is user 8.
-    batch_index_entities: tuple = (8,)
+    # reference names one player id in its statement.
+    batch_index_entities: tuple = ()
     attributes: tuple = ATTRIBUTES
-    bucket_width: int = DEFAULT_BUCKET
+    # Rows above which one user or session is cut into ranges; None: the default.
+    target_rows: int | None = None
     # Where C26 writes its snapshot; None skips the write.
     null_level_backup_path: str | None = None
-    # Materialise stage outputs (lineage cut); off only for tiny tests.
+    # Materialise stage outputs (lineage cut); off only for tiny tests, where
+    # then no step writes anything.
     stage_tables: bool = True
-    stages_done: list = field(default_factory=list)
 
 
-def _cut(df: DataFrame, name: str, cfg: CleanConfig) -> DataFrame:
-    cfg.stages_done.append(name)
-    return stage(df, name) if cfg.stage_tables else df
+def _cut(df: DataFrame, name: str, scope: StageScope) -> DataFrame:
+    """End a stage: what earlier stages wrote is read for the last time here."""
+    out = stage_table(df, name)
+    if scope.enabled:
+        scope.drop_all_but_last()
+    return out
 
 
 def dedup_events(raw: DataFrame) -> DataFrame:
     return exact_dedup(typed_events(raw))
 
 
-def attributes_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
-    """Stages 1-3: the table as it is before the level steps (C26 reads it)."""
-    cfg = cfg or CleanConfig()
-    df = _cut(dedup_events(raw), "dedup", cfg)
+def _attributes(raw: DataFrame, cfg: CleanConfig, scope: StageScope) -> DataFrame:
+    df = _cut(dedup_events(raw), "dedup", scope)
     # Not staged: the id repair is a scan of the dedup stage plus small
     # staged sets (rows that had no player), cheap to read through.
-    df = repair_user_ids(df, cfg.bucket_width)
+    df = repair_user_ids(df, cfg.target_rows)
     for entity in cfg.batch_index_entities:
         df = fill_mode_for_entity(df, "user_id", entity, "batch_event_index")
-    return _cut(fill_cascade(df, cfg.attributes), "attributes", cfg)
+    return _cut(fill_cascade(df, cfg.attributes), "attributes", scope)
 
 
-def levels_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
-    """Stages 1-4: the table before the duration and outcome steps."""
+def _levels(df: DataFrame, cfg: CleanConfig, scope: StageScope) -> DataFrame:
+    if cfg.null_level_backup_path:
+        write_table(null_level_backup(df), cfg.null_level_backup_path)
+    return _cut(infer_level(df, cfg.target_rows, drop_isolated=True), "levels", scope)
+
+
+def attributes_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
+    """Stages 1-3: the table as it is before the level steps (C26 reads it)."""
     cfg = cfg or CleanConfig()
-    return infer_levels_stage(attributes_events(raw, cfg), cfg)
+    with StageScope(raw.sparkSession, cfg.stage_tables) as scope:
+        return _attributes(raw, cfg, scope)
 
 
 def infer_levels_stage(df: DataFrame, cfg: CleanConfig) -> DataFrame:
     """Stage 4 on the output of stage 3."""
-    if cfg.null_level_backup_path:
-        write_table(null_level_backup(df), cfg.null_level_backup_path)
-    return _cut(infer_level(df, cfg.bucket_width, drop_isolated=True), "levels", cfg)
+    with StageScope(df.sparkSession, cfg.stage_tables) as scope:
+        return _levels(df, cfg, scope)
 
 
 def clean_events(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
+    """The whole chain. Jobs run while it is built; of the tables that it writes
+    only the clean one is left at the end."""
     cfg = cfg or CleanConfig()
-    return _cut(repair_outcomes(levels_events(raw, cfg)), "clean", cfg)
+    with StageScope(raw.sparkSession, cfg.stage_tables) as scope:
+        levels = _levels(_attributes(raw, cfg, scope), cfg, scope)
+        return _cut(repair_outcomes(levels), "clean", scope)

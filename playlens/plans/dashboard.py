@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions.columns import ratio, round6
 from playlens.model import FAIL, MIN_ATTEMPTS, SUCCESS
-from playlens.plans.dropoff import dropoff_fail_at_max_level, dropoff_last_event, level_dropoff
+from playlens.plans.dropoff import dropoff_last_event, fails_by_user_level, highest_levels
 from playlens.plans.marts import user_progression
 from playlens.operators.profile import missingness_patterns  # noqa: F401  (B09)
 
@@ -35,11 +35,13 @@ def retention_funnel(clean: DataFrame) -> DataFrame:
 
 
 def churn_profile(clean: DataFrame) -> DataFrame:
-    """The three drop-off definitions side by side per level."""
-    a = level_dropoff(clean).where(F.col(L).isNotNull()).select(L, "dropped_users")
-    b = dropoff_last_event(clean).where(F.col(L).isNotNull()).select(L, "users_dropped")
-    c = dropoff_fail_at_max_level(clean).select(L, "fail_events")
-    out = a.join(b, L, "full").join(c, L, "full")
+    """The three drop-off definitions side by side per level, two of them
+    from one (user, level) aggregate."""
+    by_level = fails_by_user_level(clean)
+    levels = by_level.where(F.col(L).isNotNull()).select(L).distinct()
+    tops = highest_levels(by_level).withColumnRenamed("max_level", L)
+    last = dropoff_last_event(clean)
+    out = levels.join(tops, L, "left").join(last, L, "left")
     return out.select(L, *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x)
                            for x in ("dropped_users", "users_dropped", "fail_events")])
 

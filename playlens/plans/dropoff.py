@@ -46,10 +46,22 @@ def dropoff_last_event(df: DataFrame) -> DataFrame:
             .orderBy(F.col("users_dropped").desc(), F.col(L).asc_nulls_first()))
 
 
+def fails_by_user_level(df: DataFrame) -> DataFrame:
+    """Failed plays per (user, level): what D03 and the churn profile derive from."""
+    return df.groupBy(U, L).agg(F.count_if(F.col("is_success") == FAIL).alias("_fails"))
+
+
+def highest_levels(by_level: DataFrame) -> DataFrame:
+    """Per highest level: users whose highest it is, and their failed plays there.
+    A NULL user counts among the users, as in D01, but its plays do not count."""
+    top = by_level.groupBy(U).agg(F.max(F.struct(F.col(L), F.col("_fails"))).alias("_top"))
+    return (top.groupBy(F.col("_top")[L].alias("max_level"))
+            .agg(F.count("*").alias("dropped_users"),
+                 F.sum(F.when(F.col(U).isNotNull(), F.col("_top")["_fails"])).alias("fail_events")))
+
+
 def dropoff_fail_at_max_level(df: DataFrame) -> DataFrame:
     """Failed plays at each user's highest level, per level."""
-    top = user_max_level(df).withColumnRenamed(U, "_u")
-    fails = df.where(F.col("is_success") == FAIL)
-    hit = fails.join(top, (F.col(U) == F.col("_u")) & (F.col(L) == F.col("max_level")))
-    return (hit.groupBy(L).agg(F.count("*").alias("fail_events"))
+    tops = highest_levels(fails_by_user_level(df))
+    return (tops.where("max_level is not null and fail_events > 0").select(F.col("max_level").alias(L), "fail_events")
             .orderBy(F.col("fail_events").desc(), F.col(L).asc_nulls_first()))

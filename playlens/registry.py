@@ -29,6 +29,8 @@ from playlens.session import stage_table
 from playlens.sources.fixture import game_events_raw
 
 _CACHE: dict = {}
+# The fixture's analogue of the player whose batch index the reference fills.
+CONFIG = CleanConfig(batch_index_entities=(8,))
 
 
 def inputs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +43,9 @@ def inputs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         elif name == "dedup":
             df = dd.exact_dedup(inputs(spark, sf_dir, "typed"))
         elif name == "attributes":
-            df = attributes_events(inputs(spark, sf_dir, "raw"), CleanConfig())
+            df = attributes_events(inputs(spark, sf_dir, "raw"), CONFIG)
         elif name == "levels":
-            df = infer_levels_stage(inputs(spark, sf_dir, "attributes"), CleanConfig())
+            df = infer_levels_stage(inputs(spark, sf_dir, "attributes"), CONFIG)
         elif name == "outcomes":
             # The table after the reference's first C32 / C34 pass, before
             # the inconsistent rows are dropped (where it checks them).
@@ -68,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # 2.1 cleaning and reconstruction
     "sci_notation_repair": _on("raw", rp.sci_notation_repair),
     "typed_events": _on("raw", rp.typed_events),
+    "cast_failures": _on("raw", rp.count_cast_failures),
     "distinct_row_count": _on("typed", dd.distinct_row_count),
     "duplicate_report": _on("typed", dd.duplicate_report),
     "exact_dedup": _on("typed", dd.exact_dedup),
@@ -105,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inconsistent_rows": _on("dedup", oc.inconsistent_rows),
     "outcome_null_counts": _on("dedup", oc.outcome_null_counts),
     "drop_inconsistent": _on("dedup", oc.drop_inconsistent),
-    "clean_events": lambda spark, sf_dir: clean_events(inputs(spark, sf_dir, "raw"), CleanConfig()),
+    "clean_events": lambda spark, sf_dir: clean_events(inputs(spark, sf_dir, "raw"), CONFIG),
     # the reference's checks at their place in the chain
     "chain_null_level_backup": _on("attributes", tl.null_level_backup),
     "chain_missing_time_rows": _on("outcomes", oc.missing_time_rows),
@@ -140,6 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "level_difficulty": _on("clean", marts.level_difficulty),
     "user_progression": _on("clean", marts.user_progression),
     "level_summary": _on("clean", marts.level_summary),
+    **{f"mart_preview_{name}": _on("clean", lambda df, name=name: marts.preview({name: marts.build_marts(df)[name]})[name])
+       for name in marts.TABLE_KEYS},
     # 2.6 dashboard datasets
     "retention_funnel": _on("clean", dash.retention_funnel),
     "churn_profile": _on("clean", dash.churn_profile),

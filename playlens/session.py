@@ -43,36 +43,65 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+#: Set on a cluster whose file: paths are one shared mount on all machines.
+SHARED_FILES_CONF = "spark.playlens.sharedLocalPaths"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only a local-mode session without one (tests) gets a scratch
+    On a cluster ``spark.checkpoint.dir`` names a shared folder; a path without a
+    scheme or with ``file:`` is refused there, since stage tables would be split
+    over machines, unless ``spark.playlens.sharedLocalPaths`` says that it is a
+    shared mount. Only a local-mode session without one (tests) gets a scratch
     folder of its own.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    local = sc.master.startswith("local")
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if current and not local and current.partition("://")[0] in ("file", current) and \
+            sc.getConf().get(SHARED_FILES_CONF, "false") != "true":
+        raise RuntimeError(f"spark.checkpoint.dir {current} is a machine's own folder; name a shared one")
     if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not local:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="playlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="playlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and restart its plan there.
+class StageScope:
+    """The stage tables written inside a ``with`` block, so that a chain can
+    delete those that a later one has replaced."""
 
-    Used between pipeline stages: the files survive executor loss (unlike a
-    local checkpoint) and later stages plan against a short lineage.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    _open: list = []
+
+    def __init__(self, spark: SparkSession, enabled: bool = True):
+        self.spark, self.enabled, self.paths = spark, enabled, []
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/playlens-stages/{uuid.uuid4().hex}" if enabled else None
+
+    def __enter__(self) -> "StageScope":
+        StageScope._open.append(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        StageScope._open.remove(self)
+
+    def drop_all_but_last(self) -> None:
+        """Delete every table but the newest, which was read from them."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths[:-1]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.paths = self.paths[-1:]
+
+
+def staging() -> bool:
+    """Whether stage tables are written here; without them a step must not
+    depend on sampled ranges, which a second evaluation draws anew."""
+    return not StageScope._open or StageScope._open[-1].enabled
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -80,11 +109,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
     Used to cut a long plan at a stage boundary: later stages get column
     pruning and filter pushdown on it, the files survive executor loss, and
-    the optimizer plans a short lineage.
+    the optimizer plans a short lineage. Inside a :class:`StageScope` the table
+    goes to the scope's folder; inside one that is not enabled ``df`` is returned
+    as it is.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/playlens-stages/{uuid.uuid4().hex}/{name}"
+    scope = StageScope._open[-1] if StageScope._open else None
+    if not staging():
+        return df
+    root = scope.root if scope else f"{ensure_checkpoint_dir(spark).rstrip('/')}/playlens-stages/{uuid.uuid4().hex}"
+    path = f"{root}/{len(scope.paths):02d}-{name}" if scope else f"{root}/{name}"
+    if scope:
+        path = f"{path}-{uuid.uuid4().hex[:8]}"
+        scope.paths.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -62,7 +62,7 @@ def test_fill_user_nearest_ties_and_null_timestamps(spark):
             dict(user_id=9, session_id=1, event_timestamp=None),     # not a candidate
             dict(user_id=4, session_id=1, event_timestamp=300),      # same time as 3 -> 3 wins
             dict(user_id=None, session_id=1, event_timestamp=1000)]
-    out = ident.fill_user_nearest(frame(spark, rows), bucket_width=150)
+    out = ident.fill_user_nearest(frame(spark, rows), target_rows=2)
     got = {(r["event_timestamp"], r["user_id"]) for r in out.where(F.col("session_id") == 1).collect()}
     assert (200, 3) in got and (110, 7) in got and (None, None) in got and (1000, 3) in got
 
@@ -110,7 +110,7 @@ def test_timeline_same_timestamp_tie_break_and_buckets(spark):
             dict(event_timestamp=5, batch_event_index=0, level=2),
             dict(event_timestamp=50, batch_event_index=0, level=None, is_success="FALSE"),
             dict(event_timestamp=900, level=4)]
-    out = as_dicts(tl.level_timeline(frame(spark, rows), bucket_width=10), ["event_timestamp", "batch_event_index"])
+    out = as_dicts(tl.level_timeline(frame(spark, rows), target_rows=2), ["event_timestamp", "batch_event_index"])
     assert [(r["prev_level"], r["next_level"]) for r in out] == [(None, 1), (2, None), (1, 4), (None, None)]
     assert out[2]["prev_success"] == "TRUE" and out[3]["prev_success"] == "FALSE"
 

@@ -57,7 +57,7 @@ def _known_unchanged(before, after, col, keys):
 def test_fills_keep_known_values(spark):
     dedup = dedup_events(game_events_raw(spark, "/root/testdata/sf0.001"))
     k = ["event_timestamp", "session_id", "batch_event_index", "event_name", "time_played", "level"]
-    assert _known_unchanged(dedup, ident.repair_user_ids(dedup, stage=False), "user_id", k)
+    assert _known_unchanged(dedup, ident.repair_user_ids(dedup), "user_id", k)
     k2 = ["user_id", "event_timestamp", "batch_event_index", "session_id", "event_name"]
     assert _known_unchanged(dedup, tl.infer_level(dedup), "level", k2)
     assert _known_unchanged(dedup, oc.fill_time_played_median(dedup), "time_played", k2)

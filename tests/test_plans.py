@@ -5,11 +5,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from playlens.operators import attributes as attr
-from playlens.plans import dropoff, eda
+from playlens.operators import timeline
+from playlens.operators.ranking import dense_rank_global
+from playlens.plans import dashboard, dropoff, eda
 from playlens.plans.cleaning import dedup_events
-from playlens.registry import inputs
+from playlens.registry import QUERIES, inputs
 from playlens.sources.fixture import game_events_raw
 
 SF = "/root/testdata/sf0.001"
@@ -24,9 +25,9 @@ def scans(p):
             for line in p.splitlines() if "FileScan parquet" in line]
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_nested_loops_or_python(spark, key):
-    p = plan(entry.queries()[key](spark, SF))
+    p = plan(QUERIES[key](spark, SF))
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "EvalPython", "FlatMapGroupsInPandas"):
         assert bad not in p, (key, bad)
 
@@ -52,3 +53,30 @@ def test_dedup_aggregates_before_the_shuffle(spark):
     lines = [ln.strip() for ln in p.splitlines()]
     ex = next(i for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln)
     assert any("HashAggregate" in ln for ln in lines[ex + 1:])
+
+
+def executed(df):
+    """The plan as it ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return plan(df).partition("== Initial Plan ==")[0]
+
+
+def test_level_inference_shuffles_ordinary_users_once(spark):
+    p = executed(timeline.infer_level(inputs(spark, "/root/testdata/sf0.01", "dedup").where("level is null or level > 0")))
+    # the copies' aggregate below has its own exchange; above it there is one
+    assert p.count("hashpartitioning(_uk") == 1
+    assert "Join" not in p.partition("hashpartitioning(_uk")[0]
+
+
+def test_fails_at_highest_level_scan_once(spark):
+    clean = inputs(spark, SF, "clean")
+    p = plan(dropoff.dropoff_fail_at_max_level(clean))
+    assert p.count("FileScan parquet") == 1 and "Join" not in p
+    p = executed(dashboard.churn_profile(clean))
+    assert p.count("FileScan parquet") <= 4  # with the reused scan of the shared aggregate
+
+
+def test_rank_plan_does_not_grow_with_partitions(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert len(plan(dense_rank_global(df, "k", ranges=200))) < len(plan(dense_rank_global(df, "k", ranges=2))) + 200

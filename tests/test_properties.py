@@ -31,19 +31,18 @@ events = st.lists(st.tuples(st.integers(1, 3),                       # session
 
 @pytest.fixture(params=["default", "hot"])
 def hot_keys(request, monkeypatch):
-    """'hot': every key with more than 2 rows gets its own bucket width."""
+    """'hot': every key with more than 2 rows is cut into ranges."""
     if request.param == "hot":
         monkeypatch.setattr(buckets, "TARGET_ROWS", 2)
-        monkeypatch.setattr(buckets, "MAX_HOT", 1000)
     return request.param
 
 
 @SETTINGS
-@given(events, st.sampled_from([1, 7, 1000]))
-def test_nearest_matches_brute_force(spark, hot_keys, evs, width):
+@given(events)
+def test_nearest_matches_brute_force(spark, hot_keys, evs):
     rows = [dict(session_id=s, user_id=u, event_timestamp=t, batch_event_index=i) for i, (s, u, t) in enumerate(evs)]
     out = {r["batch_event_index"]: r["user_id"] for r in
-           ident.fill_user_nearest(frame(spark, rows), bucket_width=width).collect()}
+           ident.fill_user_nearest(frame(spark, rows)).collect()}
     for i, (s, u, t) in enumerate(evs):
         if u is not None:
             assert out[i] == u
@@ -53,15 +52,14 @@ def test_nearest_matches_brute_force(spark, hot_keys, evs, width):
 
 
 @SETTINGS
-@given(st.lists(st.tuples(st.integers(0, 40), st.one_of(st.none(), st.integers(1, 5)),
-                          st.sampled_from(["TRUE", "FALSE", None])), min_size=1, max_size=20),
-       st.sampled_from([1, 5, 10**6]))
-def test_timeline_matches_brute_force(spark, hot_keys, evs, width):
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 40)), st.one_of(st.none(), st.integers(1, 5)),
+                          st.sampled_from(["TRUE", "FALSE", None])), min_size=1, max_size=20))
+def test_timeline_matches_brute_force(spark, hot_keys, evs):
     rows = [dict(user_id=1, event_timestamp=t, batch_event_index=i, level=lv, is_success=s)
             for i, (t, lv, s) in enumerate(evs)]
     got = {r["batch_event_index"]: (r["prev_level"], r["prev_success"], r["next_level"])
-           for r in tl.level_timeline(frame(spark, rows), bucket_width=width).collect()}
-    order = sorted(range(len(evs)), key=lambda i: (evs[i][0], i))
+           for r in tl.level_timeline(frame(spark, rows)).collect()}
+    order = sorted(range(len(evs)), key=lambda i: (-1 if evs[i][0] is None else evs[i][0], i))
     for pos, i in enumerate(order):
         prev = evs[order[pos - 1]] if pos > 0 else (None, None, None)
         nxt = evs[order[pos + 1]] if pos + 1 < len(order) else (None, None, None)
@@ -79,10 +77,10 @@ def test_dense_rank_matches_brute_force(spark, keys, ranges):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 20)), min_size=1, max_size=30),
-       st.integers(1, 5))
-def test_exact_median_matches_pandas(spark, vals, ranges):
+       st.sampled_from([1, 3, 1000]))
+def test_exact_median_matches_pandas(spark, vals, range_rows):
     df = frame(spark, [dict(level=lv, time_played=float(t)) for lv, t in vals])
-    got = {r["level"]: r["m"] for r in oc.exact_median(df, ["level"], "time_played", "m", ranges).collect()}
+    got = {r["level"]: r["m"] for r in oc.exact_median(df, ["level"], "time_played", "m", range_rows).collect()}
     want = pd.DataFrame(vals, columns=["l", "t"]).groupby("l")["t"].median().round(6).to_dict()
     assert got == want
 
@@ -127,17 +125,52 @@ def test_clean_is_independent_of_partition_count(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        assert _rows(pl.clean_events(raw, pl.CleanConfig(bucket_width=600_000_000))) == base
+        assert _rows(pl.clean_events(raw, pl.CleanConfig(target_rows=40))) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def test_hot_keys_get_narrower_buckets(spark):
-    rows = [dict(user_id=1, event_timestamp=t) for t in range(0, 1000, 10)] + [dict(user_id=2, event_timestamp=5)]
-    out = buckets.with_buckets(frame(spark, rows), ["user_id"], "event_timestamp", "_b", default_width=10**6,
-                               target_rows=10, max_hot=5)
-    per_user = {r["user_id"]: r["n"] for r in out.groupBy("user_id").agg(F.countDistinct("_b").alias("n")).collect()}
-    assert per_user[2] == 1 and per_user[1] >= 8
+def test_hot_keys_are_split_by_rows(spark):
+    # a burst (100 rows in one instant apart by batch index), rows without a timestamp, and
+    # more than a thousand hot keys
+    rows = ([dict(user_id=1, event_timestamp=5, batch_event_index=i) for i in range(100)]
+            + [dict(user_id=2, event_timestamp=None, batch_event_index=i) for i in range(60)]
+            + [dict(user_id=u, event_timestamp=t) for u in range(10, 1210) for t in range(12)]
+            + [dict(user_id=3, event_timestamp=5)])
+    order = [F.col("event_timestamp").asc_nulls_first(), F.col("batch_event_index").asc_nulls_first()]
+    ordinary, hot = buckets.split_hot(frame(spark, rows), ["user_id"], order, "_b", target_rows=11)
+    assert [r["user_id"] for r in ordinary.collect()] == [3]
+    assert hot.count() == len(rows) - 1
+    ranges = {r["user_id"]: r["n"] for r in hot.groupBy("user_id").agg(F.countDistinct("_b").alias("n")).collect()}
+    assert ranges[1] >= 5 and ranges[2] >= 3
+    assert hot.groupBy("user_id", "_b").count().agg(F.max("count")).first()[0] <= 44
+
+
+def test_median_ranges_follow_the_data(spark):
+    df = frame(spark, [dict(level=1, time_played=float(i)) for i in range(2000)])
+    from playlens.session import StageScope
+    with StageScope(spark) as scope:
+        assert oc.exact_median(df, ["level"], "time_played", "m", range_rows=100).first()["m"] == 999.5
+        table = spark.read.parquet(scope.paths[0])
+    assert table.groupBy("_r").count().agg(F.max("count")).first()[0] <= 300
+
+
+def test_chain_leaves_only_the_clean_table(spark):
+    import os
+    from playlens.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:") + "/playlens-stages"
+
+    def folders():
+        return {os.path.join(top, run, t) for run in os.listdir(top) for t in os.listdir(os.path.join(top, run))} if os.path.isdir(top) else set()
+
+    raw = game_events_raw(spark, SF)
+    before = folders()
+    clean = pl.clean_events(raw)
+    new = folders() - before
+    assert len(new) == 1 and "-clean-" in new.pop()
+    before = folders()
+    unstaged = pl.clean_events(raw, pl.CleanConfig(stage_tables=False))
+    assert _rows(unstaged) == _rows(clean) and folders() == before
 
 
 def test_reference_checks_as_invariants(spark):
@@ -152,9 +185,3 @@ def test_reference_checks_as_invariants(spark):
     ids = ident.repair_user_ids(dedup)
     left = ident.remaining_null_users(ids).first()[0]
     assert left == ids.where(F.col("session_id").isNull()).count()
-
-
-def test_unstaged_chain_equals_staged(spark):
-    raw = game_events_raw(spark, SF)
-    staged = _rows(pl.clean_events(raw))
-    assert _rows(pl.clean_events(raw, pl.CleanConfig(stage_tables=False))) == staged

@@ -58,3 +58,51 @@ def test_scale_conf_sizes_partitions():
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(10**6, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_local_checkpoint_folders_are_refused_on_a_cluster():
+    import pytest
+
+    from playlens.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def __init__(self, **conf):
+            self.conf, self.folder = Conf(conf), None
+
+        def getConf(self):
+            return self.conf
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.sparkContext = Context(**conf)
+
+    key, shared = "spark.checkpoint.dir", "spark.playlens.sharedLocalPaths"
+    for conf in ({}, {key: "/tmp/x"}, {key: "file:///tmp/x"}):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(Session(**conf))
+    assert ensure_checkpoint_dir(Session(**{key: "hdfs://n/x"})) == "hdfs://n/x"
+    assert ensure_checkpoint_dir(Session(**{key: "file:///mnt/x", shared: "true"})) == "file:///mnt/x"
+
+
+def test_asof_is_linear_in_one_hot_session(spark):
+    import time
+
+    from playlens.operators.asof import nearest_by_time
+
+    rows = spark.range(200_000).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("ts"), F.col("id").alias("u"))
+    t = time.time()
+    out = nearest_by_time(rows.where("u % 2 = 0").drop("u"), rows.where("u % 2 = 1"), "session_id", "ts", "u", "near")
+    assert out.where("near = ts + 1 or near = ts - 1").count() == 100_000
+    assert time.time() - t < 60
