@@ -40,22 +40,31 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.where(model.score(spark, F.col("text")) >= MIN_QUALITY_SCORE)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, and one row of each id."""
+    rows, kept, doc = unused("_rows", docs), unused("_kept", docs), unused("_doc", docs)
     found = minhash.near_duplicates(docs)
-    touched = stage(found.where("doc_id is not null").groupBy("doc_id")
-                    .agg(F.count("*").alias("_rows"), F.bool_or("kept").alias("_kept"))
-                    .where("_rows > 1 or not _kept"), "dedup-decisions")
-    marked = docs.join(touched, "doc_id", "left").select(*(docs[c] for c in docs.columns), "_rows", "_kept")
-    once = marked.where("_rows is null").drop("_rows", "_kept")
-    again = marked.where("_kept and _rows > 1").drop("_rows", "_kept").dropDuplicates(["doc_id"])
+    touched = stage(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc))
+                    .agg(F.count("*").alias(rows), F.bool_or("kept").alias(kept))
+                    .where((F.col(rows) > 1) | ~F.col(kept)), "dedup-decisions")
+    marked = docs.join(touched, F.col("doc_id") == F.col(doc), "left")
+    once = marked.where(F.col(rows).isNull()).select(*docs.columns)
+    again = marked.where(F.col(kept) & (F.col(rows) > 1)).select(*docs.columns).dropDuplicates(["doc_id"])
     return once.unionByName(again)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data; n_chars follows the new text."""
     small_batches(spark)
-    done = pii.masked(docs, PII_KEY, "_pii_entities").drop("_pii_entities")
+    found = unused("_pii_entities", docs)
+    done = pii.masked(docs, PII_KEY, found).drop(found)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

@@ -259,23 +259,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, key: tuple = ("doc_id", "pi
     histogram = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # <= capacity rows
     placed = spark.createDataFrame(
         Solver(histogram, capacity).solve(),
-        "at_length long, rank_lo long, n long, first long, per long, at long",
+        "_p_length long, _p_lo long, _p_n long, _p_first long, _p_per long, _p_at long",
     )
     salts = spark.createDataFrame(
-        [(s, -(-n // RANK_ROWS)) for s, n in histogram.items()], "s_length long, salts long")
+        [(s, -(-n // RANK_ROWS)) for s, n in histogram.items()], "_p_size long, _p_salts long")
     # Both small tables have a bounded number of rows (a few per length).
-    salted = (items.join(F.broadcast(salts), F.col("length") == F.col("s_length"))
-              .withColumn("salt", F.pmod(F.xxhash64(*key), "salts")).drop("s_length", "salts"))
-    before = (salted.groupBy("length", "salt").count()
-              .select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"),
-                      (F.sum("count").over(W.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before")))
-    ranked = (salted.withColumn("rn", F.row_number().over(W.partitionBy("length", "salt").orderBy(*key)))
-              .join(before, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt")))
-              .withColumn("rank", F.col("before") + F.col("rn") - 1))
-    at = F.col("rank") - F.col("rank_lo")
-    return (ranked.join(F.broadcast(placed), (F.col("length") == F.col("at_length")) & at.between(0, F.col("n") - 1))
-            .withColumn("sequence_id", F.col("first") + F.floor(at / F.col("per")))
-            .withColumn("offset", F.col("at") + F.pmod(at, "per") * F.col("length"))
+    salted = (items.join(F.broadcast(salts), F.col("length") == F.col("_p_size"))
+              .withColumn("_p_salt", F.pmod(F.xxhash64(*items.columns), "_p_salts")).drop("_p_size", "_p_salts"))
+    before = (salted.groupBy("length", "_p_salt").count()
+              .select(F.col("length").alias("_p_of"), F.col("_p_salt").alias("_p_in"),
+                      (F.sum("count").over(W.partitionBy("length").orderBy("_p_salt")) - F.col("count")).alias("_p_before")))
+    ranked = (salted.withColumn("_p_row", F.row_number().over(W.partitionBy("length", "_p_salt").orderBy(*key)))
+              .join(before, (F.col("length") == F.col("_p_of")) & (F.col("_p_salt") == F.col("_p_in")))
+              .withColumn("_p_rank", F.col("_p_before") + F.col("_p_row") - 1))
+    at = F.col("_p_rank") - F.col("_p_lo")
+    return (ranked.join(F.broadcast(placed), (F.col("length") == F.col("_p_length")) & at.between(0, F.col("_p_n") - 1))
+            .withColumn("sequence_id", F.col("_p_first") + F.floor(at / F.col("_p_per")))
+            .withColumn("offset", F.col("_p_at") + F.pmod(at, "_p_per") * F.col("length"))
             .select(*items.columns, "sequence_id", "offset"))
 
 

@@ -230,7 +230,8 @@ def entities(text: Column, secret: str) -> Column:
 
 
 def mask(docs: DataFrame, secret: str, found: str = "pii_entities") -> DataFrame:
-    """``docs`` with ``text`` masked, and the entities in a further column ``found``."""
+    """``docs`` with ``text`` masked, and the entities in a column ``found`` (which
+    replaces one of that name)."""
     with_found = docs.withColumn(found, entities(F.col("text"), secret))
     return with_found.withColumn("_parts_of", F.split(F.when(F.size(found) > 0, F.col("text")), ANY, -1)).withColumn(
         "text", F.when(F.size(found) > 0, F.concat(F.get("_parts_of", F.lit(0)), F.array_join(F.transform(

@@ -91,6 +91,7 @@ def record_bytes(date: str) -> Column:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record per row of (page_id, url, payload) to gzip files under ``path``."""
+    pages = pages.select("page_id", "url", "payload")
     revisits = (resolve_revisits(headers(pages), min_bytes)
                 .select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "refers_to"))
     full = pages.withColumns({"payload_digest": payload_digest(F.col("payload")),
