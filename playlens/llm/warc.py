@@ -7,9 +7,9 @@ third of all records is not gathered in one task. Archives are then written
 with fresh headers by Spark's committing file writer, one gzip file per
 task, as plain WARC/1.1: a record ends with two line ends, which is the writer's
 line separator, and Spark passes bytes through unchanged. gzip files are not
-split, so the reader sees each file in order: it splits at the same separator
-and a streaming parser joins the parts again by Content-Length, holding one
-record at a time. It works on any file system that Spark reads.
+split, so the reader sees each file in order: it splits at the same separator,
+and a streaming parser joins the parts again and cuts them by Content-Length,
+holding one record at a time. It works on any file system that Spark reads.
 
 Cases: null payload counts as empty; null urls are written as a name made of the
 id; line ends in urls are percent-encoded; records repeated with one id and one
@@ -108,35 +108,50 @@ def _fields(head: bytes) -> dict:
             (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
+def _record(head: dict, block: bytes, with_payload: bool) -> dict:
+    http, _, payload = block.partition(END.encode())
+    digest = head["warc-payload-digest"].removeprefix("sha1:")
+    revisit = head["warc-type"] == "revisit"
+    if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError(f"the payload of {head['warc-record-id']} does not have its digest")
+    return {"record_type": head["warc-type"], "record_id": head["warc-record-id"].strip("<>"),
+            "target_uri": head["warc-target-uri"], "date": head["warc-date"], "payload_digest": digest,
+            "refers_to": head["warc-refers-to"].strip("<>") if revisit else None,
+            "payload_bytes": int(_fields(http)["content-length"]),
+            "payload": payload if with_payload and not revisit else None}
+
+
 def _read(parts, with_payload: bool):
-    """Records from the parts of an archive between separators, in order."""
+    """Records from the parts of archives between separators, in order.
+
+    Parts are joined by the separator again and cut by Content-Length alone, so
+    payloads may hold or end in anything. Line ends between records are skipped:
+    the last part of a file may have had no separator after it.
+    """
     end = END.encode()
-    head, block, size, need = None, [], -4, 0
+    held, head, need = bytearray(), None, 0
     for part in parts:
-        if head is None:
-            if not part.startswith(b"WARC/1."):
-                raise ValueError(f"no record starts with {part[:40]!r}")
-            head, block, size = _fields(part), [], -4
-            need = int(head["content-length"])
-            continue
-        block.append(part)
-        size += 4 + len(part)
-        if size < need:
-            continue
-        if size > need:
-            raise ValueError(f"a record is {size - need} bytes longer than its Content-Length")
-        http, payload = _fields(block[0]), end.join(block[1:])
-        digest = head["warc-payload-digest"].removeprefix("sha1:")
-        revisit = head["warc-type"] == "revisit"
-        if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-            raise ValueError(f"the payload of {head['warc-record-id']} does not have its digest")
-        yield {"record_type": head["warc-type"], "record_id": head["warc-record-id"].strip("<>"),
-               "target_uri": head["warc-target-uri"], "date": head["warc-date"], "payload_digest": digest,
-               "refers_to": head["warc-refers-to"].strip("<>") if revisit else None,
-               "payload_bytes": int(http["content-length"]),
-               "payload": payload if with_payload and not revisit else None}
-        head = None
-    if head is not None:
+        held += part
+        held += end
+        while True:
+            if head is None:
+                del held[:len(held) - len(held.lstrip(b"\r\n"))]
+                at = held.find(end)
+                if at < 0:
+                    break
+                if not held.startswith(b"WARC/1."):
+                    raise ValueError(f"no record starts with {bytes(held[:40])!r}")
+                head = _fields(bytes(held[:at]))
+                need = int(head["content-length"])
+                del held[:at + 4]
+            if len(held) < need + 4:
+                break
+            if held[need:need + 4] != end:
+                raise ValueError(f"{head.get('warc-record-id')} is longer than its Content-Length")
+            yield _record(head, bytes(held[:need]), with_payload)
+            del held[:need + 4]
+            head = None
+    if head is not None or held:
         raise ValueError("an archive ends within a record")
 
 
