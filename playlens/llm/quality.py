@@ -6,9 +6,9 @@ unbiased risk: with class prior p, p * loss(positives as 1) + max(0, loss(unlabe
 as 0) - p * loss(positives as 0)); where the bracket turns negative its gradient is
 followed uphill, as usual for this risk. Only trusted positives and unlabelled text
 are used, no negative labels. The prior is estimated from the two by best-bin
-estimation: a first network tells positives from unlabelled text, and on rows kept
-back the prior is the least ratio (with its confidence bound) of the share of
-unlabelled to the share of positive rows above a score.
+estimation: first networks tell positives from unlabelled text, and on rows that
+they have not seen the prior is the least ratio (with its confidence bound) of the
+share of unlabelled to the share of positive rows above a score.
 
 At most about ``POSITIVES`` positive and ``UNLABELLED`` unlabelled documents, drawn by
 a hash of the id, are measured on the executors; their measures (some 4 MB) are
@@ -121,12 +121,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed:
     return Network(mean, scale, params[0], params[1], params[2], float(params[3][0]))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives in the unlabelled rows by best-bin estimation."""
-    telling = fit(positive[::2], unlabelled[::2], None)
-    sp, su = np.sort(telling.logits(positive[1::2])), np.sort(telling.logits(unlabelled[1::2]))
-    if not len(sp) or not len(su):
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, folds: int = 5) -> float:
+    """Share of positives in the unlabelled rows by best-bin estimation on
+    cross-fitted scores: each row is scored by a network that has not seen it.
+
+    Returned is the lower end of the estimate's confidence interval: with a prior
+    that is too high the risk lets bad text pass, one a little low costs nothing.
+    """
+    if len(positive) < 2 * folds or len(unlabelled) < 2 * folds:
         return 0.5
+    scored: tuple = ([], [])
+    for fold in range(folds):
+        kept = [np.arange(len(x)) % folds != fold for x in (positive, unlabelled)]
+        telling = fit(positive[kept[0]], unlabelled[kept[1]], None)
+        for to, x, k in zip(scored, (positive, unlabelled), kept):
+            to.append(telling.logits(x[~k]))
+    sp, su = (np.sort(np.concatenate(x)) for x in scored)
     cuts = np.concatenate([sp, su])
     above_p = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
     above_u = 1 - np.searchsorted(su, cuts, "left") / len(su)
@@ -136,7 +146,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
         return 0.5
     bound = np.where(usable, (above_u + slack) / np.maximum(above_p, 1e-9), np.inf)
     best = int(bound.argmin())
-    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+    return float(np.clip((above_u[best] - slack) / above_p[best], 0.05, 0.99))
 
 
 @dataclass(frozen=True)
@@ -166,7 +176,7 @@ def _measured(docs: DataFrame) -> np.ndarray:
     udf = F.pandas_udf(lambda texts: pd.Series([measures(t) for t in texts], dtype=object), "array<double>")
     rows = docs.select("doc_id", udf("text").alias("m")).toPandas()
     rows = sorted((i if i == i and i is not None else -1, *m) for i, m in zip(rows["doc_id"], rows["m"]))
-    return np.array([r[1:] for r in rows]).reshape(len(rows), -1)
+    return np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(measures("")))
 
 
 def train(docs: DataFrame, positives: DataFrame, positive_bound: int = POSITIVES, unlabelled_bound: int = UNLABELLED) -> Model:
