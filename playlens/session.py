@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +74,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: (name, seconds) of the last stage tables written, for benches.
+STAGE_LOG: deque = deque(maxlen=1000)
+
+
 class StageScope:
     """The stage tables written inside a ``with`` block, so that a chain can
     delete those that a later one has replaced."""
@@ -122,7 +128,9 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     if scope:
         path = f"{path}-{uuid.uuid4().hex[:8]}"
         scope.paths.append(path)
+    began = time.perf_counter()
     df.write.mode("overwrite").parquet(path)
+    STAGE_LOG.append((name, time.perf_counter() - began))
     return spark.read.parquet(path)
 
 
