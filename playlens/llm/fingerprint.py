@@ -31,7 +31,7 @@ from playlens.llm.common import shuffle_tasks
 SHINGLE = 5
 K = 256
 #: Ranges of ids per shuffle partition, and in all.
-RANGES_PER_TASK = 8
+RANGES_PER_TASK = 32
 MAX_RANGES = 200_000
 
 
