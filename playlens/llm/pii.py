@@ -9,8 +9,8 @@ type and the other half. Class and place of every character stay, so format,
 script and case stay; the map can be inverted by whoever knows the key rounds,
 hence two entities never share a surrogate, and one entity has the same surrogate
 everywhere, with no table to join. Given names move within the list of their
-gender and script. Card numbers keep their network digit and whether their check
-digit is right, phone numbers their country code, addresses their top domain.
+gender and script. Card numbers keep their network digit and a right check digit
+(numbers without one are no cards and stay), phone numbers their country code, addresses their top domain.
 
 :func:`check` still counts, over a whole corpus, entities, surrogates shared by two
 entities and entities left unchanged; :func:`masked` raises if two are shared.
@@ -52,14 +52,16 @@ DIGITS = ("0123456789",)
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 NAME = r"\p{Lu}\p{Ll}+"
+CARD = (r"(?:[2-6]\d{3}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})"
+        r"|3[47]\d{2}(?:\d{11}| \d{6} \d{5}|-\d{6}-\d{5}))")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "card": r"(?<![\d-])[3-6]\d{3}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})(?![\d-])",
+    "card": rf"(?<![\d-]){CARD}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+[1-9]\d{8,14}(?!\d)",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{16})(?<=(?:token|secret|passwd|password|api_key|apikey|access_key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{16,}",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{16})(?<=(?i:token|secret|passwd|password|api_key|apikey|access_key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{16,}",
     "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(n for g in GIVEN.values() for n in g)})|(?:{'|'.join(TITLES)})\.?) {NAME}(?!\p{{L}})",
 }
 ANY = "|".join(PATTERNS.values())
@@ -140,6 +142,12 @@ def _luhn(payload: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10)), F.lit(10))
 
 
+def luhn_valid(digits: Column) -> Column:
+    """Whether the last digit is the check digit of the others."""
+    n = F.char_length(digits)
+    return _luhn(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)).cast("int")
+
+
 def _email(s: Column, secret: str) -> Column:
     body = F.regexp_extract(s, r"^(.*)\.[A-Za-z]+$", 1)
     return F.concat(permuted(body, secret, "email", WORD), F.substring(s, F.char_length(body) + 1, F.char_length(s)))
@@ -202,15 +210,15 @@ def _person(s: Column, secret: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The type of a matched entity."""
+    """The type of a match; null for numbers like a card's without a right check digit."""
     return (F.when(m.contains("@"), "email").when(m.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^[3-6]\d{3}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})$"), "card")
+            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(f"^{CARD}$"), F.when(luhn_valid(_only_digits(m)), "card"))
             .when(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key").when(m.rlike(r"^[+(]?\d[\d ().-]+$") & ~m.rlike(r"^\d+$"), "phone")
             .when(m.rlike(rf"^{NAME}\.? {NAME}$"), "person").otherwise("secret"))
 
 
 def surrogate(kind: Column, m: Column, secret: str) -> Column:
-    return (F.when(kind == "email", _email(m, secret)).when(kind == "ip", _ip(m, secret))
+    return (F.when(kind.isNull(), m).when(kind == "email", _email(m, secret)).when(kind == "ip", _ip(m, secret))
             .when(kind == "card", _card(m, secret)).when(kind == "phone", _phone(m, secret))
             .when(kind == "ssn", _refill(m, permuted(_only_digits(m), secret, "ssn", DIGITS)))
             .when(kind == "key", F.concat(F.substring(m, 1, 4), permuted(F.substring(m, 5, 16), secret, "key", SECRET)))
@@ -218,7 +226,8 @@ def surrogate(kind: Column, m: Column, secret: str) -> Column:
 
 
 def entities(text: Column, secret: str) -> Column:
-    """array<struct<kind, entity, surrogate>> in order of place; empty for null."""
+    """array<struct<kind, entity, surrogate>> of all matches in order of place; empty
+    for null. Matches that are no entity have no kind and stay as they are."""
     found = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     none = F.array().cast("array<struct<kind:string,entity:string,surrogate:string>>")
 
@@ -232,11 +241,13 @@ def entities(text: Column, secret: str) -> Column:
 def mask(docs: DataFrame, secret: str, found: str = "pii_entities") -> DataFrame:
     """``docs`` with ``text`` masked, and the entities in a column ``found`` (which
     replaces one of that name)."""
-    with_found = docs.withColumn(found, entities(F.col("text"), secret))
-    return with_found.withColumn("_parts_of", F.split(F.when(F.size(found) > 0, F.col("text")), ANY, -1)).withColumn(
-        "text", F.when(F.size(found) > 0, F.concat(F.get("_parts_of", F.lit(0)), F.array_join(F.transform(
-            found, lambda e, i: F.concat(e["surrogate"], F.get("_parts_of", i + 1))), ""))).otherwise(F.col("text"))
-    ).drop("_parts_of")
+    matches, parts = f"{found}_matches", f"{found}_parts"
+    rows = docs.withColumn(matches, entities(F.col("text"), secret))
+    rows = rows.withColumn(found, F.filter(matches, lambda e: e["kind"].isNotNull()))
+    rows = rows.withColumn(parts, F.split(F.when(F.size(found) > 0, F.col("text")), ANY, -1))
+    filled = F.transform(matches, lambda e, i: F.concat(e["surrogate"], F.get(parts, i + 1)))
+    new = F.concat(F.get(parts, F.lit(0)), F.array_join(filled, ""))
+    return rows.withColumn("text", F.when(F.size(found) > 0, new).otherwise(F.col("text"))).drop(matches, parts)
 
 
 def check(masked_docs: DataFrame, found: str = "pii_entities") -> DataFrame:
