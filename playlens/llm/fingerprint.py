@@ -11,7 +11,8 @@ ascending id (after the last: the first) with one shuffle of the texts: ids are
 cut into ranges, at most ``MAX_RANGES`` of them whatever the corpus, each range
 also gets a copy of the next range's first row, and the neighbour is looked up
 within the range. The table of first rows is the only thing broadcast and is
-bounded by the number of ranges.
+bounded by the number of ranges. Ranges are equally wide in ids; where ids are spread
+very unevenly some hold more rows and take longer (they are sorted and spill).
 
 Cases: null text counts as empty; a text without words has an empty sketch (two
 empty ones resemble fully, an empty and another not at all); fewer than five
