@@ -23,6 +23,8 @@ from playlens.llm.common import doc_fold, small_batches, stage, table
 MIN_LANGUAGE_SCORE = 0.5
 #: A document's quality score must be this high.
 MIN_QUALITY_SCORE = 0.3
+#: Documents whose sets of five-word shingles are this similar (in percent) are near duplicates.
+NEAR_PERCENT = minhash.NEAR_PERCENT
 #: Key of the surrogates; a user sets a secret one.
 PII_KEY = "playlens"
 
@@ -50,7 +52,7 @@ def unused(name: str, df: DataFrame) -> str:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, and one row of each id."""
     rows, kept, doc = unused("_rows", docs), unused("_kept", docs), unused("_doc", docs)
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, NEAR_PERCENT)
     touched = stage(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc))
                     .agg(F.count("*").alias(rows), F.bool_or("kept").alias(kept))
                     .where((F.col(rows) > 1) | ~F.col(kept)), "dedup-decisions")

@@ -28,7 +28,9 @@ not read. Texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,12 @@ from playlens.llm.components import connected_components
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: The same bound where no contract names another.
+NEAR_PERCENT = 80
 GROUPS = 9
 ROWS = 3
+#: Chance that a pair right at the threshold meets in no table, where groups are planned.
+MISS = 1e-6
 #: Expected members of one block of a bucket.
 BLOCK = 256
 REMEMBERED = 400_000
@@ -64,9 +70,22 @@ def _multipliers(n: int) -> tuple:
     return seeds[:n, None], seeds[n:, None] | np.uint64(1)
 
 
-XORS, ODDS = _multipliers(2 * GROUPS * ROWS)
-#: Sets the hashes of different groups apart.
-GROUP_SEEDS = mix(np.arange(101, 101 + 2 * GROUPS, dtype=np.uint64))
+def plan(percent: int, miss: float = MISS) -> int:
+    """A (and B) groups so that a pair right at the threshold meets in no table with chance ``miss`` at most.
+
+    A pair is missed if no A group or no B group agrees.
+    """
+    return math.ceil(math.log(miss / 2) / math.log1p(-(percent / 100) ** ROWS))
+
+
+@functools.lru_cache(maxsize=4)
+def family(groups: int) -> tuple:
+    """Hash functions of so many A and B groups, and seeds that set the groups apart."""
+    return *_multipliers(2 * groups * ROWS), mix(np.arange(101, 101 + 2 * groups, dtype=np.uint64))
+
+
+XORS, ODDS, _ = family(GROUPS)
+
 
 class Hashes(dict):
     """Hashes of words, worked out at first sight."""
@@ -102,13 +121,14 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])]
 
 
-def group_keys(shingles: np.ndarray) -> np.ndarray:
-    """The 2*GROUPS group hashes (A then B) of a set that is not empty."""
-    least = np.full(len(XORS), np.uint64(2**64 - 1))
+def group_keys(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The 2*groups group hashes (A then B) of a set that is not empty."""
+    xors, odds, seeds = family(groups)
+    least = np.full(len(xors), np.uint64(2**64 - 1))
     for lo in range(0, len(shingles), 4096):
-        np.minimum(least, ((shingles[lo:lo + 4096] ^ XORS) * ODDS).min(axis=1), out=least)
-    keys = GROUP_SEEDS.copy()
-    for column in least.reshape(2 * GROUPS, ROWS).T:
+        np.minimum(least, ((shingles[lo:lo + 4096] ^ xors) * odds).min(axis=1), out=least)
+    keys = seeds.copy()
+    for column in least.reshape(2 * groups, ROWS).T:
         keys = mix(keys + column)
     return keys
 
@@ -117,12 +137,12 @@ def _signed(x: np.ndarray) -> list:
     return x.view(np.int64).tolist()
 
 
-def _sketch(texts: pd.Series) -> pd.DataFrame:
+def _sketch(texts: pd.Series, groups: int = GROUPS) -> pd.DataFrame:
     rows = []
     for t in texts:
         s = shingle_set(t)
-        keys = _signed(group_keys(s)) if len(s) else []
-        rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys[:GROUPS], keys[GROUPS:]))
+        keys = _signed(group_keys(s, groups)) if len(s) else []
+        rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys[:groups], keys[groups:]))
     return pd.DataFrame(rows, columns=["n_shingles", "digest", "a", "b"])
 
 
@@ -132,9 +152,12 @@ def _sets(texts: pd.Series) -> pd.DataFrame:
                          "shingles": [_signed(s) for s in got]})
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     """doc_id, n_shingles, digest of the set, group hashes a and b."""
-    udf = F.pandas_udf(_sketch, "n_shingles long, digest binary, a array<long>, b array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return _sketch(texts, groups)
+
+    udf = F.pandas_udf(run, "n_shingles long, digest binary, a array<long>, b array<long>")
     return docs.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
 
 
@@ -253,11 +276,15 @@ def between(cand: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int
             .mapInArrow(run, "hi long, lo long").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = NEAR_PERCENT, groups: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of (doc_id, text).
+
+    ``groups`` is planned from ``percent`` unless given.
+    """
+    groups = groups or plan(percent)
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    every = stage(sketches(docs), "sketches")
+    every = stage(sketches(docs, groups), "sketches")
     classes = stage(every.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
                     .agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n_shingles"),
                          F.first("a").alias("a"), F.first("b").alias("b")), "classes")

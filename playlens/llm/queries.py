@@ -118,7 +118,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all whole ``documents``: one row per document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.PERCENT, minhash.GROUPS)
 
 
 #: Conversation -1: texts that hold the template's own marks.

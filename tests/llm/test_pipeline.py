@@ -4,7 +4,7 @@ import os
 import sys
 
 import pytest
-from nasty import documents, empty, sf_dir
+from nasty import documents, empty, sf_dir, words
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline as cp  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
-from playlens.llm import queries  # noqa: E402
+from playlens.llm import minhash, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 LABELS = "doc_id long, quality int, toxic int"
@@ -67,3 +67,25 @@ def test_run_on_nasty_tables(spark):
     alone = cp.near_dedup(spark, documents(spark, extra=True), "").collect()
     assert len([r for r in alone if r.doc_id is None]) == 2 and len([r for r in alone if r.doc_id == 11]) == 1
     assert cp.run(spark, sf_dir(spark, documents=empty(spark), labels=empty(spark, LABELS))).count() == 0
+
+
+def test_near_dedup_takes_pairs_from_80_percent(spark):
+    rows = []
+    for i in range(60):
+        base = words(7000 + i, 400, 10**6).split()
+        near = list(base)
+        for j in range(5 + i % 6):  # each changed word takes five shingles
+            near[20 + j * 35] = f"changed{j}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    sets = [set(minhash.shingle_set(t).tolist()) for _, t in rows]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.80 <= x < 0.85 for x in likeness) >= 20 and min(likeness) < 0.80
+    want = {2 * i for i in range(60)} | {2 * i + 1 for i, x in enumerate(likeness) if x < 0.80}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_groups_follow_threshold_and_miss():
+    for percent in (80, 85, 95):
+        agree = (percent / 100) ** minhash.ROWS
+        assert 2 * (1 - agree) ** minhash.plan(percent) <= minhash.MISS < 2 * (1 - agree) ** (minhash.plan(percent) - 1)
