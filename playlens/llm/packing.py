@@ -13,6 +13,10 @@ documents of that length, sequences, offset), bounded by a small multiple of
 length. Ranks come from salted windows, so one very common length is
 spread over many tasks.
 
+Ids come from ``tokenizers``. Texts are split by the public pattern first, as the
+file's own pre-tokenizer does, and each distinct piece is encoded once and remembered:
+a piece alone has the ids that it has in its text.
+
 Cases: null text counts as empty (one token, the separator); repeated rows are
 pieces of their own; an empty table gives an empty result; further columns of
 the documents are not read.
@@ -27,6 +31,7 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +39,10 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Expected rows of one window partition when documents of a length are ranked.
 RANK_ROWS = 512
+#: Distinct pieces of text that a worker remembers before it starts anew.
+REMEMBERED = 600_000
+#: Characters of the longest piece that is remembered.
+SHORT = 64
 
 PIECES = "array<struct<piece int, start long, length long, ids binary>>"
 
@@ -66,12 +75,42 @@ def load_tokenizer(path: str) -> tuple:
     return ranks, special
 
 
-@functools.lru_cache(maxsize=2)
-def _encoding(key: str, spec):
-    import tiktoken
+class Encoder(dict):
+    """Ids of pieces as little-endian unsigned 32-bit bytes, from ``tokenizers`` at first sight."""
+
+    def __init__(self, spec: str, special: dict):
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_str(spec)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+    def __missing__(self, piece: str) -> bytes:
+        got = np.array(self.coder.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= SHORT:
+            self[piece] = got
+        return got
 
-    ranks, special = spec.value
-    return tiktoken.Encoding(key, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, in which special tokens count as such."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        if self.marks is None or not self.marks.search(text):
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += [self.plain(text[at:m.start()]), self.special[m.group()]]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])])
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(key: str, shared) -> Encoder:
+    return Encoder(*shared.value)
 
 
 def cut(n: int, capacity: int) -> list:
@@ -83,17 +122,18 @@ def cut(n: int, capacity: int) -> list:
 def tokenized(spark: SparkSession, text: Column, path: str, capacity: int = CAPACITY, separator: int = 0) -> Column:
     """array of (piece, start, length, ids): a document's ids and the separator,
     cut into pieces; ids are little-endian unsigned 32-bit."""
-    shared, key = spark.sparkContext.broadcast(load_tokenizer(path)), path
+    _, special = load_tokenizer(path)
+    with open(path, encoding="utf-8") as f:
+        shared, key = spark.sparkContext.broadcast((f.read(), special)), path
 
     def run(texts: pd.Series) -> pd.Series:
-        coder = _encoding(key, shared)
-        special = set(shared.value[1])
-        end = np.array([separator], dtype="<u4")
+        coder = _encoder(key, shared)
+        end = np.array([separator], dtype="<u4").tobytes()
         out = []
         for t in texts:
-            ids = np.concatenate([coder.encode_to_numpy(t or "", allowed_special=special).astype("<u4"), end])
-            out.append([{"piece": i, "start": at, "length": n, "ids": ids[at:at + n].tobytes()}
-                        for i, (at, n) in enumerate(cut(len(ids), capacity))])
+            ids = coder.encode(t or "") + end
+            out.append([{"piece": i, "start": at, "length": n, "ids": ids[4 * at:4 * (at + n)]}
+                        for i, (at, n) in enumerate(cut(len(ids) // 4, capacity))])
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, PIECES)(text)

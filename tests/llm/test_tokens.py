@@ -139,3 +139,30 @@ def test_hot_length_spreads_and_sequences_hold_the_ids(spark):
 def test_empty_table(spark):
     assert queries.op5_packing(spark, sf_dir(spark, documents=empty(spark))).count() == 0
     assert queries.op2_bpe(spark, sf_dir(spark, documents=empty(spark))).count() == 0
+
+
+def encoder():
+    with open(JSON, encoding="utf-8") as f:
+        return packing.Encoder(f.read(), packing.load_tokenizer(JSON)[1])
+
+
+def test_ids_are_those_of_tokenizers():
+    coder, ours, rng = Tokenizer.from_file(JSON), encoder(), random.Random(6)
+    some = ["x".join(chr(c) + " " + chr(c) + "1" for c in range(a, a + 48) if not 0xD800 <= c < 0xE000)
+            for a in range(0, 0x11000, 48)] + [t or "" for t in texts()]
+    some += ["".join(rng.choice(["th", "e ", "'s", "é", "  ", "\n", "9", "!?", "'", "\u3000", "<|endoftext|>", "<|"]) for _ in range(rng.randrange(90)))
+             for _ in range(300)]
+    for t in some:
+        assert ours.encode(t) == np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_more_than_a_million_spaces_and_line_ends(spark):
+    coder = Tokenizer.from_file(JSON)
+    runs = [f"a{c * 1_200_000}b" for c in (" ", "\n", "\u3000")]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    got = collections.defaultdict(dict)
+    for r in packing.pieces(docs, JSON).collect():
+        got[r.doc_id][r.piece] = bytes(r.ids)
+    for i, t in enumerate(runs):
+        want = np.array(coder.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()
+        assert b"".join(got[i][k] for k in sorted(got[i])) == want
