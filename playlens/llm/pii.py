@@ -13,7 +13,7 @@ gender and script. Card numbers keep their network digit and a right check digit
 (numbers without one are no cards and stay), phone numbers their country code, addresses their top domain.
 
 :func:`check` still counts, over a whole corpus, entities, surrogates shared by two
-entities and entities left unchanged; :func:`masked` raises if two are shared.
+entities and entities left unchanged; :func:`masked` draws anew where two are shared.
 
 Cases: null text stays null, empty text stays empty, a text without entities stays
 as it is to the byte; repeated rows are masked alike; an empty table gives an empty
@@ -49,8 +49,10 @@ WORD = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "012
         "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
 SECRET = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
 DIGITS = ("0123456789",)
+#: Draws before entities that still share a surrogate are an error.
+DRAWS = 8
 
-OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 NAME = r"\p{Lu}\p{Ll}+"
 CARD = (r"(?:[2-6]\d{3}(?:\d{12}|(?: \d{4}){3}|(?:-\d{4}){3})"
         r"|3[47]\d{2}(?:\d{11}| \d{6} \d{5}|-\d{6}-\d{5}))")
@@ -154,21 +156,31 @@ def _email(s: Column, secret: str) -> Column:
 
 
 def _ip(s: Column, secret: str) -> Column:
-    """Two 16-bit halves under the same rounds."""
-    o = F.transform(F.split(s, r"\."), lambda x: x.cast("int"))
+    """Two halves of two octets under the same rounds. An octet with leading zeros moves
+    among those of its length, so two spellings never share a surrogate."""
 
-    def one(state: Column, r: Column) -> Column:
-        digest = F.sha2(F.concat(F.lit(f"{secret}|ip|"), r.cast("string"), F.lit("|"), state["r"].cast("string")), 256)
-        by = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
-        return F.struct(state["r"].alias("l"), F.pmod(state["l"] + by, F.lit(65536)).alias("r"))
+    def of_octets(o: Column) -> Column:
+        octet = [F.get(o, F.lit(i)) for i in range(4)]
+        padded = [x.rlike("^0[0-9]") for x in octet]
+        size = [F.when(~p, 256).when(F.char_length(x) == 2, 10).otherwise(100) for x, p in zip(octet, padded)]
+        value = [x.cast("int") for x in octet]
+
+        def one(state: Column, r: Column) -> Column:
+            digest = F.sha2(F.concat(F.lit(f"{secret}|ip|"), r.cast("string"), F.lit("|"), state["r"].cast("string")), 256)
+            by = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+            moved = F.pmod(state["l"] + by, state["m"])
+            return F.struct(state["r"].alias("l"), state["n"].alias("m"), moved.alias("r"), state["m"].alias("n"))
 
-    zero = F.struct((F.get(o, 0) * 256 + F.get(o, 1)).alias("l"), (F.get(o, 2) * 256 + F.get(o, 3)).alias("r"))
+        def spelled(done: Column) -> Column:
+            parts = [F.floor(done["l"] / size[1]), F.pmod(done["l"], size[1]), F.floor(done["r"] / size[3]), F.pmod(done["r"], size[3])]
+            return F.concat_ws(".", *(F.when(p, F.lpad(x.cast("string"), F.char_length(of), "0")).otherwise(x.cast("string"))
+                                      for x, p, of in zip(parts, padded, octet)))
 
-    def spelled(done: Column) -> Column:
-        parts = [F.floor(done["l"] / 256), F.pmod(done["l"], F.lit(256)), F.floor(done["r"] / 256), F.pmod(done["r"], F.lit(256))]
-        return F.concat_ws(".", *(p.cast("string") for p in parts))
+        zero = F.struct((value[0] * size[1] + value[1]).alias("l"), (size[0] * size[1]).alias("m"),
+                        (value[2] * size[3] + value[3]).alias("r"), (size[2] * size[3]).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(4)), zero, one, spelled)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), zero, one, spelled)
+    return let(F.split(s, r"\."), of_octets)
 
 
 def _card(s: Column, secret: str) -> Column:
@@ -238,11 +250,15 @@ def entities(text: Column, secret: str) -> Column:
     return F.coalesce(F.transform(found, one), none)
 
 
-def mask(docs: DataFrame, secret: str, found: str = "pii_entities") -> DataFrame:
+def mask(docs: DataFrame, secret: str, found: str = "pii_entities", redrawn: str | None = None) -> DataFrame:
     """``docs`` with ``text`` masked, and the entities in a column ``found`` (which
-    replaces one of that name)."""
+    replaces one of that name). A column ``redrawn`` (map of kind|entity to surrogate,
+    or null) goes before the usual surrogates and is dropped."""
     matches, parts = f"{found}_matches", f"{found}_parts"
     rows = docs.withColumn(matches, entities(F.col("text"), secret))
+    if redrawn:
+        rows = rows.withColumn(matches, F.transform(matches, lambda e: F.struct(e["kind"], e["entity"], F.coalesce(
+            F.try_element_at(redrawn, F.concat_ws("|", e["kind"], e["entity"])), e["surrogate"]).alias("surrogate")))).drop(redrawn)
     rows = rows.withColumn(found, F.filter(matches, lambda e: e["kind"].isNotNull()))
     rows = rows.withColumn(parts, F.split(F.when(F.size(found) > 0, F.col("text")), ANY, -1))
     filled = F.transform(matches, lambda e, i: F.concat(e["surrogate"], F.get(parts, i + 1)))
@@ -258,10 +274,34 @@ def check(masked_docs: DataFrame, found: str = "pii_entities") -> DataFrame:
                                  F.count_if(F.col("n") > 1).alias("shared"), F.sum("same").alias("unchanged")))
 
 
+def redraw(each: DataFrame, secret: str) -> DataFrame:
+    """New surrogates (kind, entity, fresh) for entities that share one: the smallest
+    entity keeps it, the others draw with a further key until none is shared.
+
+    ``each`` has the distinct (kind, entity, surrogate). Raises if ``DRAWS`` draws do not do.
+    """
+    now = stage(each.withColumn("fresh", F.col("surrogate")), "draws")
+    for draw in range(1, DRAWS + 1):
+        least = now.groupBy("kind", "fresh").agg(F.min("entity").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = surrogate(F.col("kind"), F.col("entity"), f"{secret}|draw{draw}")
+        now = stage(now.join(least, ["kind", "fresh"], "left")
+                    .withColumn("fresh", F.when(F.col("entity") != F.col("owner"), again).otherwise(F.col("fresh"))).drop("owner"), "draws")
+        if now.groupBy("kind", "fresh").count().where("count > 1").isEmpty():
+            return now.where("fresh != surrogate").select("kind", "entity", "fresh")
+    raise ValueError(f"entities share surrogates after {DRAWS} draws")
+
+
 def masked(docs: DataFrame, secret: str, found: str = "pii_entities") -> DataFrame:
-    """:func:`mask`, written to a stage table and checked; raises if two entities share a surrogate."""
+    """:func:`mask`, written to a stage table and checked. If entities share a surrogate,
+    all but one of them get another, in every text that holds them (see :func:`redraw`)."""
     done = stage(mask(docs, secret, found), "masked")
-    bad = check(done, found).where("shared > 0").collect()  # one row per kind at most
-    if bad:
-        raise ValueError(f"entities share surrogates: {bad}")
-    return done
+    if check(done, found).where("shared > 0").isEmpty():
+        return done
+    each = done.select(F.explode(found).alias("e")).select("e.*").distinct()
+    fresh = redraw(each, secret)
+    key, fixes = f"{found}_key", f"{found}_fixes"
+    held = (docs.select(F.sha2("text", 256).alias(key), F.explode(entities(F.col("text"), secret)).alias("e"))
+            .select(key, "e.kind", "e.entity").distinct().join(fresh, ["kind", "entity"]))
+    maps = held.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "entity"), "fresh"))).alias(fixes))
+    rows = docs.withColumn(key, F.sha2("text", 256)).join(maps, key, "left").drop(key)
+    return stage(mask(rows, secret, found, fixes), "masked").select(*done.columns)

@@ -102,3 +102,29 @@ def test_query_on_nasty_documents(spark):
             assert by_id[i].text == t and by_id[i].n_entities == 0
     assert by_id[18].n_entities == 3 and by_id[18].n_email == by_id[18].n_ip == by_id[18].n_phone == 1
     assert queries.op7_pii_surrogates(spark, sf_dir(spark, documents=empty(spark))).count() == 0
+
+
+def test_spellings_of_one_address_stay_apart(spark):
+    rows = ["192.168.01.10 192.168.1.10", "10.04.1.2 10.4.1.2 010.004.001.002 10.4.01.2", "0.0.0.0 00.0.0.0 000.0.0.0"]
+    got = masked(spark, rows)
+    new = [e.surrogate for r in got for e in r.pii_entities]
+    assert len(new) == 9 == len(set(new))
+    for e in (e for r in got for e in r.pii_entities):
+        for old, x in zip(e.entity.split("."), e.surrogate.split(".")):
+            assert int(x) < 256 and (len(x) == len(old) and x[0] == "0" if old[0] == "0" and len(old) > 1 else x == str(int(x)))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert pii.masked(df, "k").count() == 3
+
+
+def test_shared_surrogates_are_drawn_anew(spark, monkeypatch):
+    usual = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, m, secret: usual(kind, m, secret) if "draw" in secret else F.lit("same"))
+    rows = [(1, "a@example.com b@example.com."), (2, "c@example.com"), (2, "c@example.com"), (None, "x b@example.com"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.masked(df, "k").collect()
+    assert len(got) == len(rows)
+    new = {e.entity: e.surrogate for r in got for e in r.pii_entities}
+    assert len(set(new.values())) == 3 and new["a@example.com"] == "same"
+    want = {t: t and t.replace("a@example.com", "same").replace("b@example.com", new["b@example.com"]).replace("c@example.com", new["c@example.com"])
+            for _, t in rows}
+    assert sorted(str(r.text) for r in got) == sorted(str(want[t]) for _, t in rows)
