@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ from playlens.session import stage_table
 #: stays small. A setting of the session's own wins.
 TEXT_BATCH_ROWS = 1000
 _SHIPPED: dict = {}
+#: Rows of one key that a join leaves in one task, at least.
+HOT_ROWS = 10_000
+#: Keys that a join spreads, at most: a key is hot from total / HOT_KEYS rows on.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,3 +119,50 @@ def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if (least == root).all():
             return root
         root = least
+
+
+class Memo(dict):
+    """What a worker remembers of strings, in two generations of at most ``entries`` each.
+
+    A full young generation becomes the old one, so strings that come again and
+    again are kept and those seen once fall out. ``resolve`` gives the value of
+    a string; one of more than ``chars`` characters is resolved whenever it is met.
+    """
+
+    def __init__(self, resolve: Callable[[str], object], entries: int, chars: int = 64):
+        super().__init__()
+        self.resolve, self.entries, self.chars = resolve, entries, chars
+        self.old: dict = {}
+
+    def __missing__(self, k: str):
+        got = self.old.get(k)
+        if got is None:
+            got = self.resolve(k)
+        if len(k) <= self.chars:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[k] = got
+        return got
+
+
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` to a ``lookup`` with one row per ``key``, hot keys spread over tasks.
+
+    A key with more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all is
+    hot: its lookup row is repeated under several salts and its rows are dealt to
+    them in turn. At most ``HOT_KEYS`` keys can be hot, so their list is broadcast.
+    ``rows`` must be a stage table (it is read twice, in the same order); a null key
+    finds nothing. Runs a job that counts the rows.
+    """
+    bound = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
+    hot = (rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).agg(F.count("*").alias("_hot_rows"))
+           .where(F.col("_hot_rows") > bound)
+           .select("_hot_key", F.ceil(F.col("_hot_rows") / bound).cast("int").alias("_salts")))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    dealt = (rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+             .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+             .drop("_hot_key", "_salts"))
+    copies = (lookup.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot_key", "_salts"))
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")

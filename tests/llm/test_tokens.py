@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from playlens.llm import bpe, packing, queries
+from playlens.llm.common import Memo
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -156,6 +158,24 @@ def test_ids_are_those_of_tokenizers():
         assert ours.encode(t) == np.array(coder.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_latin_pattern_cuts_as_the_public_one():
+    latin = [chr(i) for i in range(256)]
+    whole = encoder().pattern
+    some = [a + b + "a" + a for a in latin for b in latin]
+    some += ["".join(c) for n in (3, 4) for c in itertools.product(["a", "Z", "5", "²", "é", "×", "'", "'s", "'ll", " ", "\n", "\x1c", "\xa0", "."], repeat=n)]
+    for t in some:
+        assert packing.LATIN_PATTERN.findall(t) == whole.findall(t), t
+
+
+def test_memo_keeps_what_comes_again_and_is_bounded():
+    asked = []
+    memo = Memo(lambda s: asked.append(s) or len(s), entries=10, chars=5)
+    for i in range(1000):
+        assert memo[f"n{i}"] == len(f"n{i}") and memo["often"] == 5 and memo["longer"] == 6
+        assert len(memo) <= 10 and len(memo.old) <= 10
+    assert asked.count("often") == 1 and asked.count("longer") == 1000
+
+
 def test_more_than_a_million_spaces_and_line_ends(spark):
     coder = Tokenizer.from_file(JSON)
     runs = [f"a{c * 1_200_000}b" for c in (" ", "\n", "\u3000")]
