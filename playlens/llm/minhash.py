@@ -53,7 +53,8 @@ ROWS = 3
 MISS = 1e-6
 #: Expected members of one block of a bucket.
 BLOCK = 256
-REMEMBERED = 400_000
+#: Words whose hashes a worker remembers before it starts anew (some 15 MB).
+REMEMBERED = 100_000
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

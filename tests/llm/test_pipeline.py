@@ -69,6 +69,22 @@ def test_run_on_nasty_tables(spark):
     assert cp.run(spark, sf_dir(spark, documents=empty(spark), labels=empty(spark, LABELS))).count() == 0
 
 
+def test_near_dedup_loses_no_text_under_a_shared_id(spark):
+    near = words(71, 60)
+    rows = [(1, words(61, 50)), (1, words(62, 50)), (2, words(63, 50)), (1, words(61, 50)), (3, near), (3, near + " end"),
+            (None, words(64, 50)), (None, words(65, 50)), (None, words(63, 50)), (-(2**63), words(66, 50)), (-(2**63), words(67, 50))]
+    want = sorted(t for t in {t for _, t in rows} if t not in (near, near + " end"))
+    for top in ([], [(2**63 - 1, words(68, 50)), (2**63 - 1, words(68, 50))]):
+        docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows[:9] if top else rows)] + [(*r, "y", 0) for r in top],
+                                     "doc_id long, text string, _rows string, _own int")
+        runs = [sorted(map(str, cp.near_dedup(spark, docs.repartition(n), "").collect())) for n in (1, 7)]
+        assert runs[0] == runs[1]
+        got = [r.text for r in cp.near_dedup(spark, docs, "").collect()]
+        ends = [t for t in got if t.startswith(near)]
+        kept = set(want) - ({words(66, 50), words(67, 50)} if top else set()) | ({words(68, 50)} if top else set())
+        assert len(ends) == 1 and sorted(set(got) - set(ends)) == sorted(kept) and len(got) == len(kept) + 1
+
+
 def test_near_dedup_takes_pairs_from_80_percent(spark):
     rows = []
     for i in range(60):
