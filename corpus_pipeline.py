@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from playlens.llm import langid, minhash, packing, pii, quality
 from playlens.llm.common import doc_fold, small_batches, stage, table
+from playlens.operators.ranking import dense_rank_global
 
 #: A document's best language must have this probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -49,16 +50,49 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def with_own_ids(docs: DataFrame, own: str) -> DataFrame:
+    """Add column ``own``: the doc_id where it stands for one text; else an id for each of its texts.
+
+    Texts under a null id or one that other texts have too are numbered in the
+    order of (doc_id, SHA-256 of the text), beyond all other ids. Without such ids the
+    column is the doc_id, and only digests were read.
+    """
+    digest, spelled = unused("_sha", docs), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    several = (rows.groupBy("doc_id").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi"))
+               .where("doc_id is null or lo != hi").select(F.col("doc_id").alias("of")))
+    texts = stage(rows.join(several, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "sha").distinct(), "shared-ids")
+    if texts.isEmpty():
+        return docs.withColumn(own, F.col("doc_id"))
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    key = F.format_string("%020d:%s", F.coalesce("doc_id", F.lit(0)), F.concat(spelled, F.lit(":"), F.col("sha")))
+    ranks = dense_rank_global(texts.select(key.alias("key")), "key", "number")
+    up = most is None or most < 2**62  # one side has room for more ids than there can be texts
+    number = F.lit(most or 0) + F.col("number") if up else F.lit(least) - F.col("number")
+    ranks = ranks.select(F.split_part("key", F.lit(":"), F.lit(2)).alias(f"{digest}_of"),
+                         F.split_part("key", F.lit(":"), F.lit(3)).alias(f"{digest}_is"), number.alias(own))
+    marked = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = marked.join(ranks, (spelled == F.col(f"{digest}_of")) & (F.col(digest) == F.col(f"{digest}_is")), "left")
+    return found.withColumn(own, F.coalesce(own, "doc_id")).select(*docs.columns, own)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, and one row of each id."""
-    rows, kept, doc = unused("_rows", docs), unused("_kept", docs), unused("_doc", docs)
-    found = minhash.near_duplicates(docs, NEAR_PERCENT)
-    touched = stage(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc))
-                    .agg(F.count("*").alias(rows), F.bool_or("kept").alias(kept))
+    """Keep one document of each group of near duplicates.
+
+    A document is a doc_id with a text: equal rows collapse to the first in the order of
+    their JSON texts, while other texts under the same id, or none, stay unless they are
+    near duplicates themselves.
+    """
+    rows, kept, doc, own = (unused(c, docs) for c in ("_rows", "_kept", "_doc", "_own"))
+    docs, columns = with_own_ids(docs, own), docs.columns
+    found = minhash.near_duplicates(docs.select(F.col(own).alias("doc_id"), "text"), NEAR_PERCENT)
+    touched = stage(found.groupBy(F.col("doc_id").alias(doc)).agg(F.count("*").alias(rows), F.bool_or("kept").alias(kept))
                     .where((F.col(rows) > 1) | ~F.col(kept)), "dedup-decisions")
-    marked = docs.join(touched, F.col("doc_id") == F.col(doc), "left")
-    once = marked.where(F.col(rows).isNull()).select(*docs.columns)
-    again = marked.where(F.col(kept) & (F.col(rows) > 1)).select(*docs.columns).dropDuplicates(["doc_id"])
+    marked = docs.join(touched, F.col(own) == F.col(doc), "left")
+    once = marked.where(F.col(rows).isNull()).select(*columns)
+    row = F.struct(*columns)
+    again = (marked.where(F.col(kept) & (F.col(rows) > 1)).groupBy(own).agg(F.min_by(row, F.to_json(row)).alias(own + "_row"))
+             .select(f"{own}_row.*"))
     return once.unionByName(again)
 
 
