@@ -8,7 +8,7 @@ import time
 import uuid
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Defaults for a batch job over the event table. AQE re-plans joins at run
 # time (broadcast only once a side's real size is known, split skewed
@@ -110,28 +110,45 @@ def staging() -> bool:
     return not StageScope._open or StageScope._open[-1].enabled
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back.
+def measured_stage(df: DataFrame, name: str, metrics: dict[str, Column] | None = None,
+                   columns: list[str] | None = None) -> tuple[DataFrame, dict | None]:
+    """Write ``df`` as parquet under the checkpoint folder and read it back, with counts of its rows.
+
+    Cuts a long plan at a stage boundary: later stages get column pruning and filter
+    pushdown on it, the files survive executor loss, and the optimizer plans a
+    short lineage. Inside a :class:`StageScope` the table goes to the scope's
+    folder; inside one that is not enabled ``df`` is returned as it is, with None.
 
-    Used to cut a long plan at a stage boundary: later stages get column
-    pruning and filter pushdown on it, the files survive executor loss, and
-    the optimizer plans a short lineage. Inside a :class:`StageScope` the table
-    goes to the scope's folder; inside one that is not enabled ``df`` is returned
-    as it is.
+    ``metrics`` are aggregates that the write itself collects (``DataFrame.observe``), so
+    they cost no job. They are taken in the tasks that write the files, each of which
+    counts once however often it is tried. ``columns`` are what is written, if not all.
     """
     spark = df.sparkSession
     scope = StageScope._open[-1] if StageScope._open else None
     if not staging():
-        return df
+        return (df.select(*columns) if columns else df), None
     root = scope.root if scope else f"{ensure_checkpoint_dir(spark).rstrip('/')}/playlens-stages/{uuid.uuid4().hex}"
     path = f"{root}/{len(scope.paths):02d}-{name}" if scope else f"{root}/{name}"
     if scope:
         path = f"{path}-{uuid.uuid4().hex[:8]}"
         scope.paths.append(path)
+    seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
+    if seen:
+        df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
+    out = df.select(*columns) if columns else df
     began = time.perf_counter()
-    df.write.mode("overwrite").parquet(path)
+    out.write.mode("overwrite").parquet(path)
     STAGE_LOG.append((name, time.perf_counter() - began))
-    return spark.read.parquet(path)
+    counts = None
+    if seen:
+        got = seen.get
+        counts = {k: got.get(k) or 0 for k in metrics}
+    return spark.read.schema(out.schema).parquet(path), counts  # a known schema needs no job that reads footers
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """:func:`measured_stage` without counts."""
+    return measured_stage(df, name)[0]
 
 
 def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024**2) -> dict:
