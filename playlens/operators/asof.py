@@ -46,17 +46,18 @@ def _across(both: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def nearest_by_time(targets: DataFrame, candidates: DataFrame, key: str, ts: str, value: str,
-                    out: str, target_rows: int | None = None) -> DataFrame:
+                    out: str, target_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """For each target row, ``out`` = the ``value`` of the candidate of the
     same ``key`` nearest in ``ts`` (either direction); on equal distance the
     smallest value. NULL when the key has no candidate.
 
     ``targets`` and ``candidates`` must have non-null ``key`` and ``ts``;
-    candidates must have a non-null ``value``. Runs a job that counts the keys.
+    candidates must have a non-null ``value``. Runs a job that counts the keys, unless
+    the caller knows that both together have at most ``rows`` rows and those are few.
     """
     cand = candidates.select(key, ts, F.col(value).alias("_v")).withColumn("_cand", F.lit(True))
     both = targets.withColumn("_cand", F.lit(False)).unionByName(cand, allowMissingColumns=True)
-    ordinary, hot = split_hot(both, [key], [ts], "_b", target_rows)
+    ordinary, hot = split_hot(both, [key], [ts], "_b", target_rows, rows)
     found = _within(ordinary, [key], ts)
     if hot is not None:
         found = found.unionByName(_across(hot, key, ts))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from playlens.operators.asof import nearest_by_time
 from playlens.operators.ranking import dense_rank_global
-from playlens.session import stage_table
+from playlens.session import measured_stage
 
 USER = "user_id"
 SESSION = "session_id"
@@ -64,7 +64,7 @@ def fill_user_single_session(df: DataFrame) -> DataFrame:
     return known.unionByName(_apply(nulls, _single_user_sessions(known), SESSION))
 
 
-def _fill_nearest(known: DataFrame, nulls: DataFrame, target_rows: int | None) -> DataFrame:
+def _fill_nearest(known: DataFrame, nulls: DataFrame, target_rows: int | None, rows: int | None = None) -> DataFrame:
     cols = nulls.columns
     eligible = F.col(SESSION).isNotNull() & F.col(TS).isNotNull()
     targets = nulls.where(eligible)
@@ -72,7 +72,7 @@ def _fill_nearest(known: DataFrame, nulls: DataFrame, target_rows: int | None) -
     sessions = targets.select(SESSION).distinct()
     cands = (known.where(eligible).select(SESSION, TS, USER)
              .join(sessions, SESSION, "left_semi"))
-    filled = nearest_by_time(targets, cands, SESSION, TS, USER, "_fill", target_rows)
+    filled = nearest_by_time(targets, cands, SESSION, TS, USER, "_fill", target_rows, rows)
     filled = filled.withColumn(USER, F.coalesce(F.col(USER), F.col("_fill"))).select(*cols)
     return filled.unionByName(rest)
 
@@ -85,9 +85,9 @@ def fill_user_nearest(df: DataFrame, target_rows: int | None = None) -> DataFram
     return known.unionByName(_fill_nearest(known, nulls, target_rows))
 
 
-def _fill_surrogate(nulls: DataFrame) -> DataFrame:
+def _fill_surrogate(nulls: DataFrame, rows: int | None = None) -> DataFrame:
     cols = nulls.columns
-    ranks = dense_rank_global(nulls, SESSION, "_rank")
+    ranks = dense_rank_global(nulls, SESSION, "_rank", rows=rows)
     lookup = ranks.select(SESSION, (-F.col("_rank")).alias("_fill"))
     return _apply(nulls, lookup, SESSION).select(*cols)
 
@@ -99,19 +99,31 @@ def fill_user_surrogate(df: DataFrame) -> DataFrame:
     return known.unionByName(_fill_surrogate(nulls))
 
 
-def repair_user_ids(df: DataFrame, target_rows: int | None = None) -> DataFrame:
-    """C11 -> C12 -> C13 in sequence, with the known rows read once.
+def repair_user_ids(df: DataFrame, target_rows: int | None = None, rows: int | None = None) -> DataFrame:
+    """C11 -> C12 -> C13 in sequence, with the known rows read once."""
+    return measured_user_ids(df, target_rows, rows)[0]
+
+
+def measured_user_ids(df: DataFrame, target_rows: int | None = None, rows: int | None = None) -> tuple[DataFrame, dict | None]:
+    """:func:`repair_user_ids` and how many rows had no player and how many still have none before C13.
 
     The rows that had no user (a small share) are materialised after C12,
-    so ranking their sessions for C13 does not recompute C11 and C12.
+    so ranking their sessions for C13 does not recompute C11 and C12; the write
+    counts what is left, and without a row left there is no C13.
     """
     known, nulls = _split(df)
     step1 = _apply(nulls, _single_user_sessions(known), SESSION)
     done1, open1 = step1.where(F.col(USER).isNotNull()), step1.where(F.col(USER).isNull())
-    after = done1.unionByName(_fill_nearest(known, open1, target_rows))
-    after = stage_table(after, "user_fill")
-    done2, open2 = after.where(F.col(USER).isNotNull()), after.where(F.col(USER).isNull())
-    return known.unionByName(done2).unionByName(_fill_surrogate(open2))
+    after = done1.unionByName(_fill_nearest(known, open1, target_rows, rows))
+    open_rows = F.col(USER).isNull()
+    after, seen = measured_stage(after, "user_fill", {
+        "rows_without_user": F.count("*"), "open_after_nearest": F.count_if(open_rows),
+        "open_with_session": F.count_if(open_rows & F.col(SESSION).isNotNull())})
+    if seen and not seen["open_with_session"]:
+        return known.unionByName(after), seen
+    done2, open2 = after.where(~open_rows), after.where(open_rows)
+    filled = _fill_surrogate(open2, seen and seen["open_with_session"])
+    return known.unionByName(done2).unionByName(filled), seen
 
 
 def remaining_null_users(df: DataFrame) -> DataFrame:

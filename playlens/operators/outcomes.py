@@ -27,7 +27,22 @@ def _key_cols(keys: list[str], prefix: str):
 RANGE_ROWS = 1_000_000
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str, range_rows: int | None = None) -> DataFrame:
+def _median_in_groups(known: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """:func:`exact_median` by one window per group, for tables of a bounded size."""
+    vc = known.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy(value)
+    vc = vc.select("*", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end"),
+                   F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
+
+    def at(pos: str):
+        return F.min(F.when((F.col("_end") - F.col("_c") <= F.expr(pos)) & (F.expr(pos) < F.col("_end")), F.col(value)))
+
+    picked = vc.groupBy(*keys).agg(at("(_n - 1) div 2").alias("_lo"), at("_n div 2").alias("_hi"))
+    return picked.select(*keys, round6(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(out))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, range_rows: int | None = None,
+                 rows: int | None = None) -> DataFrame:
     """Exact PERCENTILE_CONT(0.5) of ``value`` per ``keys`` (NULL values
     ignored), rounded to 6 decimals.
 
@@ -40,9 +55,13 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str, range_row
        middle values by a window over those ranges alone.
 
     A range holds about ``range_rows`` distinct values however many there are.
-    Runs jobs while the plan is built: an estimate and the write of the ranges.
+    Runs jobs while the plan is built: an estimate and the write of the ranges. Where
+    the caller knows that ``df`` has at most ``rows`` rows and those fit one range, neither
+    runs and a window per group does the same.
     """
     known = df.where(F.col(value).isNotNull())
+    if rows is not None and rows <= (range_rows or RANGE_ROWS):
+        return _median_in_groups(known, keys, value, out)
     distinct = known.agg(F.approx_count_distinct(F.struct(*keys, value))).first()[0]
     ranges = distinct // (range_rows or RANGE_ROWS) + 1 if staging() else 1
     vc = known.groupBy(*keys, value).agg(F.count("*").alias("_c")).select("*", *_key_cols(keys, "_g"))
@@ -76,12 +95,12 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str, range_row
     return picked.select(*keys, round6(med).alias(out))
 
 
-def median_by_level_outcome(df: DataFrame, require_level: bool = True) -> DataFrame:
+def median_by_level_outcome(df: DataFrame, require_level: bool = True, rows: int | None = None) -> DataFrame:
     """Median duration per (level, is_success)."""
     src = df.where(F.col(T).isNotNull() & F.col(S).isNotNull())
     if require_level:
         src = src.where(F.col(L).isNotNull())
-    return exact_median(src, [L, S], T, "median_time")
+    return exact_median(src, [L, S], T, "median_time", rows=rows)
 
 
 def success_fail_medians(df: DataFrame, medians: DataFrame | None = None) -> DataFrame:
@@ -159,24 +178,38 @@ def drop_inconsistent(df: DataFrame) -> DataFrame:
     return df.where(~_inconsistent())
 
 
-def repair_outcomes(df: DataFrame) -> DataFrame:
-    """C32 -> C34 -> C39 in one pass.
+def outcome_checks() -> dict:
+    """What the reference counts between its fills and the deletion."""
+    return {
+        "row_count": F.count("*"),
+        "null_time_played": F.count_if(F.col(T).isNull()),
+        "null_is_success": F.count_if(F.col(S).isNull()),
+        "missing_time_rows": F.count_if(_time_fill_targets()),
+        "missing_outcome_rows": F.count_if(_outcome_targets()),
+        "inconsistent_rows": F.count_if(_inconsistent()),
+    }
+
+
+def fill_outcomes(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """C32 -> C34 in one pass; ``df`` has at most ``rows`` rows, if given.
 
     One median table serves both fills: the C32 fill adds copies of a
     group's own (rounded) median to that group, which leaves the rounded
-    median unchanged, so C34's medians equal those before C32.
+    median unchanged, so C34's medians equal those before C32. Its rows become
+    one row per level with the medians by outcome, joined once to the rows with a gap.
     """
     cols = df.columns
-    # Two lookups read the median table (one row per level and outcome).
-    m = stage_table(median_by_level_outcome(df, require_level=False), "medians")
-    by_outcome = m.where(F.col(L).isNotNull())
-    sf = success_fail_medians(df, m)
-    tgt_cond = _time_fill_targets() | _outcome_targets()
-    tgt = df.where(tgt_cond)
-    j = tgt.join(by_outcome, [L, S], "left").join(sf, L, "left")
-    t_new = F.coalesce(F.col(T), F.when(F.col(S).isNotNull(), F.col("median_time")))
+    medians = median_by_level_outcome(df, require_level=True, rows=rows)
+    by_level = medians.groupBy(L).agg(F.map_from_entries(F.collect_list(F.struct(S, "median_time"))).alias("_medians"))
+    gap = _time_fill_targets() | _outcome_targets()
+    j = df.where(gap).join(by_level, L, "left")
+    s_med, f_med = F.try_element_at("_medians", F.lit(SUCCESS)), F.try_element_at("_medians", F.lit(FAIL))
+    t_new = F.coalesce(F.col(T), F.try_element_at("_medians", F.col(S)))
     s_new = F.when(F.col(S).isNotNull(), F.col(S)).when(
-        F.col("success_median").isNotNull() & F.col("fail_median").isNotNull(),
-        _closer_outcome(F.col(T), F.col("success_median"), F.col("fail_median")))
-    fixed = j.withColumns({T: t_new, S: s_new}).select(*cols)
-    return df.where(~tgt_cond).unionByName(drop_inconsistent(fixed))
+        s_med.isNotNull() & f_med.isNotNull(), _closer_outcome(F.col(T), s_med, f_med))
+    return df.where(~gap).unionByName(j.withColumns({T: t_new, S: s_new}).select(*cols))
+
+
+def repair_outcomes(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """C32 -> C34 -> C39."""
+    return drop_inconsistent(fill_outcomes(df, rows))

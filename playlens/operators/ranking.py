@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 from playlens.session import stage_table, staging
 
 
-def dense_rank_global(df: DataFrame, key: str, out: str = "rank", ranges: int | None = None) -> DataFrame:
+#: Keys that one task ranks at most.
+RANK_ROWS = 1_000_000
+
+
+def dense_rank_global(df: DataFrame, key: str, out: str = "rank", ranges: int | None = None,
+                      rows: int | None = None) -> DataFrame:
     """Distinct non-null ``key`` values with their dense rank (1 = smallest).
 
     Writes the distinct keys as a stage table (a job runs while the plan is
     built). Without ``ranges`` the session's shuffle partitions are used, which
-    adaptive execution coalesces to its advisory size.
+    adaptive execution coalesces to its advisory size. Where the caller knows that
+    ``df`` has at most ``rows`` rows, few enough for one task, nothing is staged.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    if rows is not None and rows <= RANK_ROWS:
+        return keys.select(key, F.row_number().over(Window.orderBy(key)).cast("long").alias(out))
     if not staging():
         ranges = 1
     dealt = keys.repartitionByRange(ranges, key) if ranges else keys.repartitionByRange(key)

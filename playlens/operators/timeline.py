@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from playlens.functions.columns import level_gap_pick
 from playlens.model import SUCCESS, FAIL, TIMELINE_ORDER
 from playlens.operators.buckets import split_hot
+from playlens.session import measured_stage, staging
 
 USER = "user_id"
 USER_KEYS = ["_uk", "_un"]
@@ -68,15 +69,20 @@ def _across_ranges(rows: DataFrame) -> DataFrame:
     return inner.where(~(at_start | at_end)).unionByName(edges).drop("_b")
 
 
-def level_timeline(df: DataFrame, target_rows: int | None = None, with_user_rows: bool = False) -> DataFrame:
+def _named(found: DataFrame) -> DataFrame:
+    return found.withColumnsRenamed({"_pl": "prev_level", "_ps": "prev_success", "_nl": "next_level"})
+
+
+def level_timeline(df: DataFrame, target_rows: int | None = None, with_user_rows: bool = False,
+                   known_rows: int | None = None) -> DataFrame:
     """Previous level, previous outcome and next level of each event in
     its user's order (timestamp, batch index, then the remaining columns);
     immediate neighbours, NULLs not skipped, across sessions. Runs a job that
-    counts the users' rows."""
+    counts the users' rows, unless ``known_rows`` says that ``df`` is small."""
     cols = df.columns
     # NULL user ids form their own group, NULL timestamps sort first.
     keyed = df.withColumns({"_uk": F.coalesce(F.col(USER), F.lit(0).cast("long")), "_un": F.col(USER).isNull()})
-    ordinary, hot = split_hot(keyed, USER_KEYS, _order(), "_b", target_rows)
+    ordinary, hot = split_hot(keyed, USER_KEYS, _order(), "_b", target_rows, known_rows)
     found = _neighbours(ordinary, USER_KEYS)
     rows = F.lit(None).cast("long")
     if with_user_rows:
@@ -84,8 +90,7 @@ def level_timeline(df: DataFrame, target_rows: int | None = None, with_user_rows
     if hot is not None:
         across = _across_ranges(hot)
         found = found.unionByName(across.withColumn("_user_rows", rows) if with_user_rows else across)
-    named = [F.col("_pl").alias("prev_level"), F.col("_ps").alias("prev_success"), F.col("_nl").alias("next_level")]
-    return found.select(*cols, *named, *(["_user_rows"] if with_user_rows else []))
+    return _named(found).select(*cols, "prev_level", "prev_success", "next_level", *(["_user_rows"] if with_user_rows else []))
 
 
 def _inferred(preview: bool):
@@ -101,18 +106,99 @@ def _inferred(preview: bool):
     return F.when(F.col("level").isNull(), expr)
 
 
-def infer_level(df: DataFrame, target_rows: int | None = None, drop_isolated: bool = False) -> DataFrame:
+ROW = "_row_id"
+#: What decides a neighbour's place but for ties.
+PLACE = ["event_timestamp", "batch_event_index"]
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """Number the rows; the numbers hold once the result is written as a stage table."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _is_isolated():
+    """The only event of a known user, without a level."""
+    return F.col("level").isNull() & F.col(USER).isNotNull() & (F.coalesce(F.col("_user_rows"), F.lit(2)) == 1)
+
+
+def _infer_wide(df: DataFrame, target_rows: int | None, drop_isolated: bool, rows: int | None) -> DataFrame:
+    """C29 with whole rows in the window: for tables whose rows have no numbers."""
+    cols = df.columns
+    tl = level_timeline(df, target_rows, drop_isolated, rows)
+    if drop_isolated:
+        tl = tl.where(~_is_isolated())
+    return tl.withColumn("level", F.coalesce(F.col("level"), _inferred(False).cast("int"))).select(*cols)
+
+
+def _decided(tl: DataFrame, *more) -> DataFrame:
+    """Inferred level of the rows without one, and whether C27 deletes them."""
+    return tl.where(F.col("level").isNull()).select(
+        ROW, *USER_KEYS, _inferred(False).cast("int").alias("_inferred"), _is_isolated().alias("_isolated"), *more)
+
+
+def _narrow_timeline(rows: DataFrame) -> DataFrame:
+    """Timeline by time and batch index alone (of outcomes only success is known), with ``_tied``: a neighbour could be another
+    row if the remaining order columns were looked at."""
+    w = Window.partitionBy(*USER_KEYS).orderBy(*[F.col(c).asc_nulls_first() for c in PLACE])
+    offsets = {-2: "_b2", -1: "_b1", 1: "_a1", 2: "_a2"}
+    # Plain columns only: a struct or a repeated key would be worked out, and shipped, before the shuffle.
+    found = rows.select(
+        "*", F.lag("level").over(w).alias("prev_level"), F.lag("_won").over(w).alias("_pw"), F.lead("level").over(w).alias("next_level"),
+        *[F.lead(c, k).over(w).alias(f"{name}_{c}") for k, name in offsets.items() for c in PLACE],
+        F.row_number().over(w).alias("_at"), F.count("*").over(Window.partitionBy(*USER_KEYS)).alias("_user_rows"))
+
+    def equal(one: str, two: str):
+        return F.col(f"{one}{PLACE[0]}").eqNullSafe(F.col(f"{two}{PLACE[0]}")) & F.col(f"{one}{PLACE[1]}").eqNullSafe(F.col(f"{two}{PLACE[1]}"))
+
+    at, n = F.col("_at"), F.col("_user_rows")
+    tied = (((at > 2) & equal("_b2_", "_b1_")) | ((at > 1) & equal("_b1_", ""))
+            | ((at < n) & equal("", "_a1_")) | ((at < n - 1) & equal("_a1_", "_a2_")))
+    return found.withColumns({USER: F.when(~F.col("_un"), F.col("_uk")), "_tied": tied,
+                              "prev_success": F.when(F.col("_pw"), F.lit(SUCCESS))})
+
+
+def infer_level(df: DataFrame, target_rows: int | None = None, drop_isolated: bool = False,
+                rows: int | None = None) -> DataFrame:
     """C29 (update variant): fill NULL levels from the neighbours; runs of
     NULLs and unmatched patterns stay NULL. With ``drop_isolated`` the C27
     deletion is applied in the same pass (it removes only the sole event of
-    a user, which is nobody's neighbour)."""
-    cols = df.columns
-    tl = level_timeline(df, target_rows, with_user_rows=drop_isolated)
+    a user, which is nobody's neighbour).
+
+    Only what the rules read goes through the window: time, batch index, level and
+    outcome. Where two rows tie there and a neighbour of a row without a level could
+    be either, that row's user is taken again with all order columns. What was decided
+    for the rows without a level is joined to them by row number; rows with a level are
+    never shuffled whole. ``df`` may bring the numbers (``with_row_id``, staged);
+    otherwise it is staged with them. ``rows`` bounds its size, if the caller knows it.
+    """
+    if not staging():
+        return _infer_wide(df, target_rows, drop_isolated, rows)
+    cols = [c for c in df.columns if c != ROW]
+    if ROW not in df.columns:
+        df, seen = measured_stage(with_row_id(df), "numbered_rows", {"rows": F.count("*")})
+        rows = seen["rows"]
+    keys = {"_uk": F.coalesce(F.col(USER), F.lit(0).cast("long")), "_un": F.col(USER).isNull()}
+    # Numbers of rows with a level are not needed; left out, they take no room in the shuffle.
+    slim = df.select(USER, *TIMELINE_ORDER, F.when(F.col("level").isNull(), F.col(ROW)).alias(ROW)).withColumns(keys)
+    ordinary, hot = split_hot(slim, USER_KEYS, _order(), "_b", target_rows, rows)
+    won = F.col("is_success").eqNullSafe(SUCCESS).alias("_won")  # all that the update's rules ask of an outcome
+    found = _decided(_narrow_timeline(ordinary.select(*USER_KEYS, ROW, *PLACE, "level", won)), "_tied")
+    if hot is not None:
+        found = found.unionByName(_decided(_named(_across_ranges(hot)).withColumn("_user_rows", F.lit(None).cast("long")),
+                                           F.lit(False).alias("_tied")))
+    found, seen = measured_stage(found, "inferred_levels", {"tied": F.count_if("_tied")})
+    if seen["tied"]:
+        users = found.where("_tied").select(*USER_KEYS).distinct()
+        again = _neighbours(slim.join(users, USER_KEYS, "left_semi"), USER_KEYS)
+        again = _decided(_named(again).withColumn("_user_rows", F.lit(None).cast("long"))).drop("_isolated")
+        # An isolated row has no neighbours to tie with.
+        found = (found.join(again.select(ROW, F.col("_inferred").alias("_resolved")), ROW, "left")
+                 .withColumn("_inferred", F.when(F.col("_tied"), F.col("_resolved")).otherwise(F.col("_inferred"))))
+    filled = df.where(F.col("level").isNull()).join(found.select(ROW, "_inferred", "_isolated"), ROW)
     if drop_isolated:
-        isolated = (F.col("level").isNull() & F.col(USER).isNotNull()
-                    & (F.coalesce(F.col("_user_rows"), F.lit(2)) == 1))
-        tl = tl.where(~isolated)
-    return tl.withColumn("level", F.coalesce(F.col("level"), _inferred(False).cast("int"))).select(*cols)
+        filled = filled.where(~F.col("_isolated"))
+    filled = filled.withColumn("level", F.col("_inferred")).select(*cols)
+    return df.where(F.col("level").isNotNull()).select(*cols).unionByName(filled)
 
 
 def infer_level_preview(df: DataFrame, target_rows: int | None = None) -> DataFrame:

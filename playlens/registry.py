@@ -24,7 +24,8 @@ from playlens.plans import difficulty as dif
 from playlens.plans import dropoff as dro
 from playlens.plans import eda
 from playlens.plans import marts
-from playlens.plans.cleaning import CleanConfig, attributes_events, clean_events, infer_levels_stage
+from playlens.plans.cleaning import (CleanConfig, attributes_events, clean_events, clean_events_measured,
+                                     infer_levels_stage, report_frame)
 from playlens.session import stage_table
 from playlens.sources.fixture import game_events_raw
 
@@ -109,7 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outcome_null_counts": _on("dedup", oc.outcome_null_counts),
     "drop_inconsistent": _on("dedup", oc.drop_inconsistent),
     "clean_events": lambda spark, sf_dir: clean_events(inputs(spark, sf_dir, "raw"), CONFIG),
-    # the reference's checks at their place in the chain
+    # the reference's checks at their place in the chain: their counts from one run, and the rows
+    "chain_report": lambda spark, sf_dir: report_frame(
+        spark, clean_events_measured(inputs(spark, sf_dir, "raw"), CONFIG)[1]),
     "chain_null_level_backup": _on("attributes", tl.null_level_backup),
     "chain_missing_time_rows": _on("outcomes", oc.missing_time_rows),
     "chain_missing_outcome_rows": _on("outcomes", oc.missing_outcome_rows),
