@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import ratio, round6
 from playlens.model import FAIL, LEVEL_START, SUCCESS, TABLE_KEYS
 from playlens.plans.difficulty import level_stats
 from playlens.plans.dropoff import level_dropoff as _level_dropoff
-from playlens.sources.readers import write_table
+from playlens.sources.tableset import TableSet
 
 S, T, L, U = "is_success", "time_played", "level", "user_id"
 
@@ -93,9 +93,11 @@ def preview(tables: dict[str, DataFrame], n: int = 10) -> dict[str, DataFrame]:
 
 
 def write_marts(clean: DataFrame, root: str, fmt: str = "parquet") -> dict[str, str]:
-    """Drop-and-recreate every output table under ``root``."""
-    paths = {}
-    for name, df in build_marts(clean).items():
-        paths[name] = f"{root.rstrip('/')}/{name}"
-        write_table(df, paths[name], fmt=fmt)
-    return paths
+    """Replace the output tables under ``root``, all together once all are written
+    (see ``sources.tableset``); the folder of each."""
+    return TableSet(clean.sparkSession, root).write(build_marts(clean), fmt)
+
+
+def read_marts(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """The current output tables under ``root``."""
+    return TableSet(spark, root).read(fmt)

@@ -12,6 +12,7 @@ from playlens.operators import dedup as dd
 from playlens.operators import identity as ident
 from playlens.operators import outcomes as oc
 from playlens.operators import timeline as tl
+from playlens.operators.asof import nearest_by_time
 from playlens.operators.ranking import dense_rank_global
 from playlens.plans import cleaning
 from playlens.plans.cleaning import CleanConfig, clean_events, clean_events_measured, dedup_events
@@ -200,3 +201,43 @@ def test_known_sizes_change_no_result(spark):
     assert same(oc.repair_outcomes(df, n), oc.drop_inconsistent(oc.infer_is_success(oc.fill_time_played_median(df))))
     assert same(tl.infer_level(df, rows=n), tl._infer_wide(df, None, False, None))
     assert same(cleaning.typed_events_with_losses(game_events_raw(spark, SF)).select(*ALL14).distinct(), dedup_events(game_events_raw(spark, SF)))
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """No side is small enough to broadcast, and partitions stay as they are dealt."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_burst_at_one_instant_is_spread(spark, shuffled_joins):
+    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("session_id"), F.when(F.col("id") < 30_000, F.lit(500).cast("long")).otherwise(
+        F.col("id")).alias("ts"), F.col("id").alias("u"))
+    known = rows.where("u % 3 = 0")
+    out = nearest_by_time(rows.where("u % 3 = 1"), known.withColumnRenamed("u", "v"), "session_id", "ts", "v", "near", hot_rows=500)
+    assert out.count() == rows.where("u % 3 = 1").count()
+    assert out.where("ts = 500 and near != 0").count() == 0 and out.where("ts > 500 and near is null").count() == 0
+    assert out.where("ts > 500 and abs(near - ts) > 1 and u > 30001").count() == 0
+    sizes = [r.n for r in out.where("ts = 500").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 4_000 and len(sizes) >= 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_equals_brute_force_with_bursts(spark, seed):
+    rng = random.Random(seed)
+    evs = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([None, None, 3, 4, 5]), rng.choice([0, 7, 7, 7, 9, 20, 31])) for _ in range(120)]
+    rows = spark.createDataFrame([(i, *e) for i, e in enumerate(evs)], "i int, k long, u long, ts long")
+    for hot, target in ((1, None), (3, 2), (10**6, 2)):
+        got = nearest_by_time(rows.where("u is null").drop("u"), rows.where("u is not null"), "k", "ts", "u", "near", target, hot_rows=hot)
+        got = {r.i: r.near for r in got.collect()}
+        for i, (k, u, t) in enumerate(evs):
+            if u is None:
+                cands = [(abs(t - s), v) for (j, v, s) in evs if j == k and v is not None]
+                assert got[i] == (min(cands)[1] if cands else None)
+        assert len(got) == sum(u is None for _, u, _ in evs)

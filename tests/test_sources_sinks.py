@@ -106,3 +106,69 @@ def test_asof_is_linear_in_one_hot_session(spark):
     out = nearest_by_time(rows.where("u % 2 = 0").drop("u"), rows.where("u % 2 = 1"), "session_id", "ts", "u", "near")
     assert out.where("near = ts + 1 or near = ts - 1").count() == 100_000
     assert time.time() - t < 60
+
+
+def failing(df):
+    """``df`` with a row that ends its write half-way."""
+    return df.withColumn("level", F.when(F.monotonically_increasing_id() % 2**33 == 3, F.raise_error("lost").cast("int")).otherwise(F.col("level")))
+
+
+def test_failed_run_leaves_all_old_tables(spark):
+    import pytest
+
+    from playlens.plans.marts import build_marts, read_marts
+    from playlens.sources.tableset import TableSet
+
+    root = tempfile.mkdtemp(prefix="playlens-set-", dir="/tmp")
+    clean = clean_events(game_events_raw(spark, SF))
+    assert read_marts(spark, root) == {}
+    write_marts(clean, root)
+    before = {k: sorted(map(str, df.collect())) for k, df in read_marts(spark, root).items()}
+    planned = read_marts(spark, root)
+    tables = build_marts(clean.where("level > 2"))
+    for broken in tables:  # whichever table fails, none is replaced
+        with pytest.raises(Exception, match="lost"):
+            TableSet(spark, root).write(tables | {broken: failing(clean)})
+        assert {k: sorted(map(str, df.collect())) for k, df in read_marts(spark, root).items()} == before
+    write_marts(clean.where("level > 2"), root)
+    after = read_marts(spark, root)
+    assert after["game_events_clean"].count() == clean.where("level > 2").count() < clean.count()
+    # a reader that planned on the old version still reads it; failed runs are gone
+    assert {k: sorted(map(str, df.collect())) for k, df in planned.items()} == before
+    assert all(len(os.listdir(os.path.join(root, name))) == 2 for name in tables)
+    write_marts(clean, root)
+    assert all(len(os.listdir(os.path.join(root, name))) == 2 for name in tables)
+    assert len([n for n in os.listdir(os.path.join(root, "_manifests")) if n[0] != "."]) == 2
+
+
+def test_failed_overwrite_leaves_the_old_table(spark):
+    import pytest
+
+    from playlens.sources.readers import write_table
+
+    path = os.path.join(tempfile.mkdtemp(prefix="playlens-table-", dir="/tmp"), "t")
+    clean = clean_events(game_events_raw(spark, SF))
+    write_table(clean, path)
+    with pytest.raises(Exception, match="lost"):
+        write_table(failing(clean), path)
+    assert spark.read.parquet(path).count() == clean.count()
+    write_table(clean.limit(5), path)
+    assert spark.read.parquet(path).count() == 5
+    write_table(clean.limit(5), path, mode="append")
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_broken_csv_lines_are_set_apart(spark):
+    from playlens.model import RAW_COLUMNS
+    from playlens.sources.readers import read_raw_csv_checked
+
+    path = os.path.join(tempfile.mkdtemp(prefix="playlens-csv-", dir="/tmp"), "raw.csv")
+    good = "2.45E+16,24500000000000001,1704067200000000,1704067200000000,1,level_end,1.0,10,5.5,VN,3,TRUE,normal,mobile,Apple,iOS"
+    bad = [good.replace(",10,5.5,", ",ten,5.5,"), good.replace(",3,TRUE", ",three,TRUE"), good[:60], good + ",more"]
+    with open(path, "w") as f:
+        f.write("\n".join([",".join(RAW_COLUMNS), good, *bad, good.replace("VN", ""), ""]))
+    rows, broken = read_raw_csv_checked(spark, path)
+    assert rows.count() == 2 and rows.select("user_id").distinct().count() == 1 and rows.columns == RAW_COLUMNS
+    assert sorted(r.line for r in broken.collect()) == sorted(bad) and broken.count() == len(bad)
+    assert broken.select("file").first()[0].endswith("raw.csv")
+    assert clean_events(rows).count() == 2
