@@ -4,6 +4,8 @@ aggregates (one row per level), never over events."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from playlens.model import FAIL, MIN_ATTEMPTS, SUCCESS
 from playlens.plans.dropoff import dropoff_last_event, fails_by_user_level, highest_levels
 from playlens.plans.marts import user_progression
 from playlens.operators.profile import missingness_patterns  # noqa: F401  (B09)
+from playlens.session import stage_table
 
 S, T, L, U = "is_success", "time_played", "level", "user_id"
 
@@ -75,17 +78,26 @@ SEGMENTS = ("device_category", "operating_system", "country")
 
 def segment_metrics(clean: DataFrame) -> DataFrame:
     """Events, players, success rate and playtime per device category,
-    operating system and country, as one grouping-sets aggregate."""
-    g = clean.groupingSets([[c] for c in SEGMENTS], *SEGMENTS).agg(
-        F.count("*").alias("total_events"), F.countDistinct(U).alias("total_users"),
-        ratio(F.count_if(F.col(S) == SUCCESS), F.count(S)).alias("success_rate"),
-        round6(F.avg(T)).alias("avg_playtime"),
-        *[F.grouping(c).alias(f"_g_{c}") for c in SEGMENTS])
-    seg_type = F.when(F.col("_g_device_category") == 0, F.lit("device_category")) \
-        .when(F.col("_g_operating_system") == 0, F.lit("operating_system")).otherwise(F.lit("country"))
-    seg_value = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, F.col(c)) for c in SEGMENTS])
-    return g.select(seg_type.alias("segment_type"), seg_value.alias("segment_value"),
-                    "total_events", "total_users", "success_rate", "avg_playtime")
+    operating system and country.
+
+    The events are read once and counted per player and combination of segments, which is
+    little more than a row per player, and staged; each segment rolls up from there,
+    so no event is multiplied for the three groupings or for the distinct players.
+    """
+    players = stage_table(clean.groupBy(U, *SEGMENTS).agg(
+        F.count("*").alias("_n"), F.count_if(F.col(S) == SUCCESS).alias("_won"), F.count(S).alias("_known"),
+        F.sum(T).alias("_time"), F.count(T).alias("_timed")), "player_segments")
+
+    def rolled(segment: str) -> DataFrame:
+        sums = ["_n", "_won", "_known", "_time", "_timed"]
+        by_player = players.groupBy(segment, U).agg(*[F.sum(c).alias(c) for c in sums])
+        total = by_player.groupBy(segment).agg(F.count(U).alias("total_users"), *[F.sum(c).alias(c) for c in sums])
+        return total.select(
+            F.lit(segment).alias("segment_type"), F.col(segment).alias("segment_value"), F.col("_n").alias("total_events"), "total_users",
+            ratio(F.col("_won"), F.col("_known")).alias("success_rate"),
+            round6(F.try_divide("_time", "_timed")).alias("avg_playtime"))
+
+    return reduce(DataFrame.unionByName, map(rolled, SEGMENTS))
 
 
 def progression_overview(clean: DataFrame) -> DataFrame:

@@ -43,23 +43,28 @@ def level_summary(clean: DataFrame) -> DataFrame:
     and average starts of M03.
 
     The reference joins the events to M02 and M03 and groups; here one
-    per-level aggregate carries everything M02 and M03 derive from (players
-    reached = unique players, outcome/duration/start counts) and one
-    per-player maximum gives the drop-offs: two scans instead of four.
+    aggregate per player and level, rolled up to levels, carries everything M02 and M03
+    derive from (players reached = unique players, outcome/duration/start counts: two
+    distinct counts without a multiplied row) and one per-player maximum gives the
+    drop-offs: two scans instead of four.
     Levels that M03 lacks (no outcome, duration or start; the NULL level)
     get NULL fail rate and average starts, and the NULL level a NULL
     drop-off rate, as the left joins give.
     """
     start = F.col("event_name") == LEVEL_START
-    per_level = clean.groupBy(L).agg(
-        F.count("*").alias("total_attempts"),
-        F.countDistinct(U).alias("unique_users"),
-        round6(F.avg(T)).alias("avg_playtime"),
-        ratio(F.count_if(F.col(S) == SUCCESS), F.count(S)).alias("success_rate"),
-        ratio(F.count_if(F.col(S) == FAIL), F.count(S)).alias("_fail_rate"),
-        F.count(S).alias("_ns"), F.count(T).alias("_nt"), F.count_if(start).alias("_starts"),
-        F.countDistinct(F.when(start, F.col(U))).alias("_players"),
-        F.max(F.when(start & F.col(U).isNull(), 1).otherwise(0)).alias("_null_player"))
+    visits = clean.groupBy(L, U).agg(
+        F.count("*").alias("_n"), F.sum(T).alias("_time"), F.count(T).alias("_nt"), F.count(S).alias("_ns"),
+        F.count_if(F.col(S) == SUCCESS).alias("_won"), F.count_if(F.col(S) == FAIL).alias("_lost"), F.count_if(start).alias("_starts"))
+    total = {c: F.sum(c) for c in ("_n", "_time", "_nt", "_ns", "_won", "_lost", "_starts")}
+    # A row per player and level: rows count players, and the NULL player is one of those who started.
+    per_level = visits.groupBy(L).agg(
+        total["_n"].alias("total_attempts"),
+        F.count(U).alias("unique_users"),
+        round6(F.try_divide(total["_time"], total["_nt"])).alias("avg_playtime"),
+        ratio(total["_won"], total["_ns"]).alias("success_rate"),
+        ratio(total["_lost"], total["_ns"]).alias("_fail_rate"),
+        total["_ns"].alias("_ns"), total["_nt"].alias("_nt"), total["_starts"].alias("_starts"),
+        F.count_if(F.col("_starts") > 0).alias("_players"))
     dropped = (clean.groupBy(U).agg(F.max(L).alias("_ml")).groupBy("_ml")
                .agg(F.count("*").alias("_dropped")))
     j = per_level.join(dropped, per_level[L] == dropped["_ml"], "left")
@@ -70,7 +75,7 @@ def level_summary(clean: DataFrame) -> DataFrame:
         F.when(F.col(L).isNotNull(), ratio(F.coalesce(F.col("_dropped"), F.lit(0)), F.col("unique_users")))
         .alias("dropoff_rate"),
         F.when(in_m03, F.col("_fail_rate")).alias("fail_rate"),
-        F.when(in_m03, ratio(F.col("_starts"), F.col("_players") + F.col("_null_player"))).alias("avg_attempts"))
+        F.when(in_m03, ratio(F.col("_starts"), F.col("_players"))).alias("avg_attempts"))
 
 
 def build_marts(clean: DataFrame) -> dict[str, DataFrame]:

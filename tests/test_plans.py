@@ -62,11 +62,21 @@ def executed(df):
     return plan(df).partition("== Initial Plan ==")[0]
 
 
-def test_level_inference_shuffles_ordinary_users_once(spark):
-    p = executed(timeline.infer_level(inputs(spark, "/root/testdata/sf0.01", "dedup").where("level is null or level > 0")))
-    # the copies' aggregate below has its own exchange; above it there is one
-    assert p.count("hashpartitioning(_uk") == 1
-    assert "Join" not in p.partition("hashpartitioning(_uk")[0]
+def test_level_inference_shuffles_ordinary_users_once(spark, monkeypatch):
+    plans, real = [], timeline.measured_stage
+
+    def spy(df, name, *more):
+        if name == "inferred_levels":
+            plans.append(executed(df))
+        return real(df, name, *more)
+
+    monkeypatch.setattr(timeline, "measured_stage", spy)
+    out = timeline.infer_level(inputs(spark, "/root/testdata/sf0.01", "dedup"))
+    (p,) = plans
+    assert p.count("Exchange hashpartitioning") == 1 and p.count("FileScan") == 1 and "Join" not in p
+    # what was decided joins the rows without a level; the others come from a scan of their own
+    last = executed(out)
+    assert "Window" not in last and last.count("Union") == 1 and "IsNotNull(level)" in last
 
 
 def test_fails_at_highest_level_scan_once(spark):
@@ -80,3 +90,13 @@ def test_fails_at_highest_level_scan_once(spark):
 def test_rank_plan_does_not_grow_with_partitions(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     assert len(plan(dense_rank_global(df, "k", ranges=200))) < len(plan(dense_rank_global(df, "k", ranges=2))) + 200
+
+
+@pytest.mark.parametrize("key", ["dataset_overview", "segment_metrics", "level_summary", "level_difficulty", "user_progression"])
+def test_distinct_counts_multiply_no_row(spark, key):
+    assert "Expand" not in plan(QUERIES[key](spark, SF))
+
+
+def test_segments_read_the_events_once(spark):
+    p = plan(dashboard.segment_metrics(inputs(spark, SF, "clean")))
+    assert p.count("FileScan parquet") == 3 and "time_played" not in p  # three times the staged counts, never the events
