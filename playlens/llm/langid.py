@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlens.llm.common import small_batches
@@ -167,7 +167,7 @@ def document_frequencies(texts: DataFrame) -> tuple:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from rows of (doc_id, text, lang)."""
+    """Learn from rows of (doc_id, text, lang): at most ``2 * sample`` distinct ones of each language."""
     spark = rows.sparkSession
     small_batches(spark)
     rows = rows.select("doc_id", "text", "lang").where("lang is not null and text is not null")
@@ -180,8 +180,12 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.create_map(*(x for k, n in per_lang.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     order = F.xxhash64("text", "doc_id")
+    # Equal rows are drawn once, and an ordered bound holds whatever the hashes do.
+    first = Window.partitionBy("lang").orderBy("o", "text")
     chosen = (rows.where(drawn < F.try_element_at(share, "lang"))
-              .select("text", "lang", (F.pmod(order, F.lit(5)) == 0).alias("kept_back"), order.alias("o")))
+              .select("text", "lang", (F.pmod(order, F.lit(5)) == 0).alias("kept_back"), order.alias("o"))
+              .dropDuplicates(["lang", "o"]).withColumn("place", F.row_number().over(first))
+              .where(F.col("place") <= 2 * sample).drop("place"))
     shared = spark.sparkContext.broadcast(idf)
 
     def run(batches):

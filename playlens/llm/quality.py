@@ -121,26 +121,47 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed:
     return Network(mean, scale, params[0], params[1], params[2], float(params[3][0]))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, folds: int = 5) -> float:
-    """Share of positives in the unlabelled rows by best-bin estimation on
-    cross-fitted scores: each row is scored by a network that has not seen it.
+#: Networks of the cross-fit, and cells of a unit of score in the histogram of all rows.
+FOLDS = 5
+CELLS = 50
+#: Scores beyond this fall into the last cells.
+FARTHEST = 40
+
+
+def crossfit(positive: tuple, unlabelled: tuple) -> list:
+    """A network per fold, learned from the rows (measures, folds) of the other folds."""
+    (p, fp), (u, fu) = positive, unlabelled
+    return [fit(p[fp != k], u[fu != k], None) for k in range(FOLDS)]
+
+
+def logits(networks: list, rows: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """The score of each row by the network that has not seen its fold."""
+    out = np.zeros(len(rows))
+    for k, network in enumerate(networks):
+        if (folds == k).any():
+            out[folds == k] = network.logits(rows[folds == k])
+    return out
+
+
+def cells(scores: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(scores, -FARTHEST, FARTHEST) * CELLS).astype(np.int64)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: dict, delta: float = 0.1) -> float:
+    """Share of positives in the unlabelled rows by best-bin estimation, from the cells of
+    the positives' cross-fitted scores and the number of unlabelled rows in each cell.
 
     Returned is the lower end of the estimate's confidence interval: with a prior
     that is too high the risk lets bad text pass, one a little low costs nothing.
     """
-    if len(positive) < 2 * folds or len(unlabelled) < 2 * folds:
+    n = sum(unlabelled.values())
+    if len(positive) < 2 * FOLDS or n < 2 * FOLDS:
         return 0.5
-    scored: tuple = ([], [])
-    for fold in range(folds):
-        kept = [np.arange(len(x)) % folds != fold for x in (positive, unlabelled)]
-        telling = fit(positive[kept[0]], unlabelled[kept[1]], None)
-        for to, x, k in zip(scored, (positive, unlabelled), kept):
-            to.append(telling.logits(x[~k]))
-    sp, su = (np.sort(np.concatenate(x)) for x in scored)
-    cuts = np.concatenate([sp, su])
-    above_p = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
-    above_u = 1 - np.searchsorted(su, cuts, "left") / len(su)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    cuts = np.array(sorted(unlabelled.keys() | set(positive.tolist())))
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    counts = np.array([unlabelled.get(c, 0) for c in cuts.tolist()], dtype=float)
+    above_u = counts[::-1].cumsum()[::-1] / n
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(n))
     usable = above_p > slack
     if not usable.any():
         return 0.5
@@ -165,33 +186,59 @@ class Model:
         return F.pandas_udf(lambda texts: pd.Series(shared.value.scores(texts.tolist())), "double")(text)
 
 
-def _drawn(df: DataFrame, n: int, bound: int, salt: str) -> DataFrame:
-    """About ``bound`` of ``n`` rows by a hash of doc_id."""
+def _drawn(df: DataFrame, n: int, bound: int, salt: str, *by: str) -> DataFrame:
+    """About ``bound`` of ``n`` rows by a hash of the columns ``by``, and never more than twice
+    as many: equal rows are drawn once, the first in the order of the hash stay."""
     limit = int(min(1.0, bound / max(1, n)) * 1_000_000)
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < limit)
+    hashed = df.withColumn("_h", F.xxhash64(*by, F.lit(salt)))
+    return (hashed.where(F.pmod("_h", F.lit(1_000_000)) < limit).dropDuplicates(["_h"]).orderBy("_h").limit(2 * bound).drop("_h"))
 
 
-def _measured(docs: DataFrame) -> np.ndarray:
-    """Measures of a bounded sample of documents, in a fixed order."""
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _measured(docs: DataFrame) -> tuple:
+    """(measures, folds) of a bounded sample of documents, in a fixed order."""
     udf = F.pandas_udf(lambda texts: pd.Series([measures(t) for t in texts], dtype=object), "array<double>")
-    rows = docs.select("doc_id", udf("text").alias("m")).toPandas()
-    rows = sorted((i if i == i and i is not None else -1, *m) for i, m in zip(rows["doc_id"], rows["m"]))
-    return np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(measures("")))
+    rows = docs.select(udf("text").alias("m"), _fold().alias("fold")).toPandas()
+    rows = sorted((f, *m) for f, m in zip(rows["fold"], rows["m"]))
+    found = np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(measures("")))
+    return found, np.array([r[0] for r in rows], dtype=np.int64)
+
+
+def score_histogram(docs: DataFrame, networks: list) -> dict:
+    """Documents in each cell of cross-fitted score, over all rows: at most 2 * FARTHEST * CELLS + 1 cells."""
+    shared = docs.sparkSession.sparkContext.broadcast(networks)
+
+    def run(texts: pd.Series, folds: pd.Series) -> pd.Series:
+        return pd.Series(cells(logits(shared.value, np.array([measures(t) for t in texts]), folds.to_numpy())))
+
+    found = docs.select(F.pandas_udf(run, "long")(F.col("text"), _fold()).alias("cell")).groupBy("cell").count()
+    return {r["cell"]: r["count"] for r in found.collect()}
 
 
 def train(docs: DataFrame, positives: DataFrame, positive_bound: int = POSITIVES, unlabelled_bound: int = UNLABELLED) -> Model:
-    """Learn from documents (doc_id, text) and the ids (doc_id) of trusted positives."""
+    """Learn from documents (doc_id, text) and the ids (doc_id) of trusted positives.
+
+    Networks learn from bounded samples of distinct rows (at most twice the bounds); the
+    class prior is estimated from the scores of all documents.
+    """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     positives = positives.select("doc_id").where("doc_id is not null").distinct()
-    chosen = _drawn(positives, positives.count(), positive_bound, "positive")  # bounded: safe to broadcast
-    known = _measured(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    web = _measured(_drawn(docs, docs.count(), unlabelled_bound, "unlabelled"))
-    if len(known) < 2 or len(web) < 2:
+    chosen = _drawn(positives, positives.count(), positive_bound, "positive", "doc_id")  # bounded: safe to broadcast
+    good = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+    known = _measured(_drawn(good, positive_bound, positive_bound, "good", "doc_id", "text"))
+    web = _measured(_drawn(docs, docs.count(), unlabelled_bound, "unlabelled", "doc_id", "text"))
+    if len(known[0]) < 2 or len(web[0]) < 2:
         return Model(None, 0.5)
+    prior = 0.5
+    if min(np.sum(x[1] != k) for x in (known, web) for k in range(FOLDS)) >= 2:
+        networks = crossfit(known, web)
+        prior = estimate_prior(cells(logits(networks, *known)), score_histogram(docs, networks))
     rng = np.random.default_rng(11)
-    known, web = known[rng.permutation(len(known))], web[rng.permutation(len(web))]
-    prior = estimate_prior(known, web)
+    known, web = known[0][rng.permutation(len(known[0]))], web[0][rng.permutation(len(web[0]))]
     return Model(fit(known, web, prior), prior)
 
 

@@ -82,7 +82,10 @@ def test_prior_and_risk_on_known_mixture():
     rng = np.random.default_rng(2)
     positive = rng.normal(2, 1, (4000, 3))
     web = np.concatenate([rng.normal(2, 1, (4200, 3)), rng.normal(-2, 1, (1800, 3))])
-    prior = quality.estimate_prior(positive, web[rng.permutation(6000)])
+    folds = [np.arange(len(x)) % quality.FOLDS for x in (positive, web)]
+    networks = quality.crossfit((positive, folds[0]), (web, folds[1]))
+    histogram = collections.Counter(quality.cells(quality.logits(networks, web, folds[1])).tolist())
+    prior = quality.estimate_prior(quality.cells(quality.logits(networks, positive, folds[0])), histogram)
     assert abs(prior - 0.7) < 0.08
     net = quality.fit(positive, web, prior)
     fresh_good, fresh_bad = rng.normal(2, 1, (500, 3)), rng.normal(-2, 1, (500, 3))
@@ -98,6 +101,39 @@ def test_quality_on_nasty_rows(spark):
     assert queries.op8_quality(spark, sf_dir(spark, documents=empty(spark), labels=labels)).count() == 0
 
 
+def test_draws_are_bounded_however_rows_repeat(spark):
+    """One id, or one row, with a third of the table and a third without an id."""
+    n = 3000
+    docs = spark.range(n).select(F.when(F.col("id") < n // 3, 18).when(F.col("id") < 2 * n // 3, F.col("id")).cast("long").alias("doc_id"),
+                                 F.when(F.col("id") % 2 == 0, "the same text").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    for bound in (20, 300):
+        drawn = quality._drawn(docs, n, bound, "x", "doc_id", "text").collect()
+        assert bound / 4 < len(drawn) <= 2 * bound and len(set(drawn)) == len(drawn)
+        assert any(r.doc_id is None for r in drawn) and any(r.doc_id == 18 for r in drawn)
+    hot = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    assert quality._drawn(hot, 10, 10, "x", "doc_id", "text").count() == 1
+
+
+def test_histogram_counts_all_rows(spark):
+    docs = documents(spark)
+    rng = np.random.default_rng(3)
+    size = len(quality.measures(""))
+    networks = quality.crossfit(*((rng.normal(0, 1, (200, size)), np.arange(200) % quality.FOLDS) for _ in range(2)))
+    found = quality.score_histogram(docs, networks)
+    rows = docs.select("text", quality._fold().alias("f")).collect()
+    want = collections.Counter(
+        int(quality.cells(quality.logits(networks, np.array([quality.measures(r.text)]), np.array([r.f])))[0]) for r in rows)
+    assert found == want and sum(found.values()) == docs.count()
+
+
+def test_language_sample_is_bounded(spark):
+    hot = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("this is the same english text").alias("text"), F.lit("en").alias("lang"))
+    rest = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("der die das "), "id").alias("text"), F.lit("de").alias("lang"))
+    model = langid.train(hot.unionByName(rest), sample=100)
+    got = rest.limit(50).unionByName(hot.limit(1)).select("lang", model.predict(spark, F.col("text")).alias("p")).collect()
+    assert all(r.p.lang == r.lang for r in got if r.lang == "de")
+
+
 def test_trusted_needs_every_label(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 0, 0), (4, None, 0)], LABELS)
     assert [r.doc_id for r in quality.trusted(labels).collect()] == [1]
