@@ -4,7 +4,7 @@
 and works on all rows that its predecessor kept; all but the last return the columns
 of ``documents``, the last one row per packed piece. :func:`run` writes each
 stage's result as Parquet under ``spark.checkpoint.dir`` and reads it again for the
-next.
+next; then it removes the result before and all that the stage wrote on its way.
 
 Cases: rows with nulls, empty texts, repeated rows, empty tables and further columns go
 through every stage as its operator says; further columns are kept up to packing.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from playlens.llm import langid, minhash, packing, pii, quality
 from playlens.llm.common import doc_fold, small_batches, stage, table
 from playlens.operators.ranking import dense_rank_global
+from playlens.session import StageScope
 
 #: A document's best language must have this probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -128,6 +129,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+    with StageScope(spark) as scope:
+        for name, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir), name)
+            scope.drop_all_but_last()  # the stage before and what this one wrote on its way
     return docs
