@@ -9,6 +9,7 @@ import uuid
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults for a batch job over the event table. AQE re-plans joins at run
 # time (broadcast only once a side's real size is known, split skewed
@@ -49,21 +50,53 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 SHARED_FILES_CONF = "spark.playlens.sharedLocalPaths"
 
 
+#: (application, folder) that a probe found shared.
+_PROBED: set = set()
+
+
+def _in_doubt(sc, folder: str) -> bool:
+    """Whether only files written there can tell if all machines see the same folder."""
+    return (not sc.master.startswith("local") and folder.partition("://")[0] in ("file", folder)
+            and sc.getConf().get(SHARED_FILES_CONF, "false") != "true")
+
+
+def _probe(spark: SparkSession, folder: str) -> None:
+    """Raise unless the driver sees what the tasks of all executors write to ``folder``:
+    a table of one row a task, two tasks a slot, is written and read back as a stage table is."""
+    try:
+        sc = spark.sparkContext
+        if (sc.applicationId, folder) in _PROBED:
+            return
+        tasks = 2 * sc.defaultParallelism
+        path = f"{folder.rstrip('/')}/playlens-probe-{uuid.uuid4().hex}"
+        rows = spark.range(0, tasks, 1, tasks)
+        rows.write.parquet(path)
+        back = spark.read.schema(rows.schema).parquet(path).count()
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception as e:
+        raise RuntimeError(f"spark.checkpoint.dir {folder} could not be written and read back; name a shared one") from e
+    if back != tasks:
+        raise RuntimeError(f"spark.checkpoint.dir {folder} is a machine's own folder: {back} of {tasks} rows "
+                           "written there came back; name a shared one")
+    _PROBED.add((sc.applicationId, folder))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; a path without a
-    scheme or with ``file:`` is refused there, since stage tables would be split
-    over machines, unless ``spark.playlens.sharedLocalPaths`` says that it is a
-    shared mount. Only a local-mode session without one (tests) gets a scratch
-    folder of its own.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder. A path without a
+    scheme or with ``file:`` may be a shared mount or each machine's own disk, over which
+    stage tables would be split: unless ``spark.playlens.sharedLocalPaths`` says that
+    it is shared, a small table is written there once per application, and the path is
+    refused if a part of it does not come back. Only a local-mode session without a folder
+    (tests) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     local = sc.master.startswith("local")
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current and not local and current.partition("://")[0] in ("file", current) and \
-            sc.getConf().get(SHARED_FILES_CONF, "false") != "true":
-        raise RuntimeError(f"spark.checkpoint.dir {current} is a machine's own folder; name a shared one")
+    if current and _in_doubt(sc, current):
+        _probe(spark, current)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
@@ -110,6 +143,10 @@ def staging() -> bool:
     return not StageScope._open or StageScope._open[-1].enabled
 
 
+#: Metric of a write in a folder that may not be shared.
+WRITTEN = "_rows_written"
+
+
 def measured_stage(df: DataFrame, name: str, metrics: dict[str, Column] | None = None,
                    columns: list[str] | None = None) -> tuple[DataFrame, dict | None]:
     """Write ``df`` as parquet under the checkpoint folder and read it back, with counts of its rows.
@@ -122,6 +159,9 @@ def measured_stage(df: DataFrame, name: str, metrics: dict[str, Column] | None =
     ``metrics`` are aggregates that the write itself collects (``DataFrame.observe``), so
     they cost no job. They are taken in the tasks that write the files, each of which
     counts once however often it is tried. ``columns`` are what is written, if not all.
+
+    In a folder that only a probe found shared (``ensure_checkpoint_dir``) the rows are counted
+    again as they are read, from the footers, since an executor that came later may not share it.
     """
     spark = df.sparkSession
     scope = StageScope._open[-1] if StageScope._open else None
@@ -132,18 +172,22 @@ def measured_stage(df: DataFrame, name: str, metrics: dict[str, Column] | None =
     if scope:
         path = f"{path}-{uuid.uuid4().hex[:8]}"
         scope.paths.append(path)
-    seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
+    doubt = _in_doubt(spark.sparkContext, path)
+    collected = {**(metrics or {}), **({WRITTEN: F.count("*")} if doubt else {})}
+    seen = Observation(f"{name}-{uuid.uuid4().hex}") if collected else None
     if seen:
-        df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
+        df = df.observe(seen, *[c.alias(k) for k, c in collected.items()])
     out = df.select(*columns) if columns else df
     began = time.perf_counter()
     out.write.mode("overwrite").parquet(path)
     STAGE_LOG.append((name, time.perf_counter() - began))
-    counts = None
-    if seen:
-        got = seen.get
-        counts = {k: got.get(k) or 0 for k in metrics}
-    return spark.read.schema(out.schema).parquet(path), counts  # a known schema needs no job that reads footers
+    got = seen.get if seen else {}
+    counts = {k: got.get(k) or 0 for k in metrics} if metrics else None
+    back = spark.read.schema(out.schema).parquet(path)  # a known schema needs no job that reads footers
+    if doubt and (rows := back.count()) != (got.get(WRITTEN) or 0):
+        raise RuntimeError(f"{rows} of {got.get(WRITTEN) or 0} rows written to {path} came back: "
+                           "some executor does not share spark.checkpoint.dir; name a shared folder")
+    return back, counts
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
