@@ -103,7 +103,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not local:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="playlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    # The real path: one such as /proc/self/cwd/tmp is another folder in each executor of local-cluster.
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="playlens-ckpt-", dir=os.path.realpath(os.environ.get("TMPDIR", "/tmp"))))
     return sc.getCheckpointDir()
 
 

@@ -92,3 +92,24 @@ def test_probe_runs_once_and_not_where_the_folder_is_known(spark, monkeypatch):
     for _ in range(3):
         session.ensure_checkpoint_dir(spark)
     assert len(written) == 1 and "/playlens-probe-" in written[0]
+
+
+def test_scratch_folder_is_the_same_one_in_every_process(monkeypatch, tmp_path):
+    class Context:
+        master, folder = "local-cluster[2,1,1024]", None
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext = Context()
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("TMPDIR", "/proc/self/cwd")
+    assert os.path.dirname(session.ensure_checkpoint_dir(Session())) == os.path.realpath(tmp_path)
