@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 from playlens.llm.common import drop_stage, stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _ends(edges: DataFrame) -> DataFrame:
+    """Each edge from both of its ends: n, m and whether n is the greater (up 1, else down 1)."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = F.array(F.struct(F.col("hi").alias("n"), F.col("lo").alias("m"), one.alias("up"), none.alias("down")),
+                   F.struct(F.col("lo").alias("n"), F.col("hi").alias("m"), none.alias("up"), one.alias("down")))
+    return edges.select(F.explode(both).alias("e")).select("e.*")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre, smaller than all its neighbours, or has one
+    neighbour, a smaller one. One aggregate over the nodes, which spares a round that changes nothing."""
+    nodes = _ends(edges).groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(edges.select("lo", "hi"))
-    least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
-    large = (both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct())
+    least = _ends(edges).groupBy("n").agg(F.min("m").alias("least")).select(F.col("n").alias("lo"), F.least("n", "least").alias("least"))
+    large = edges.join(least, "lo").select("hi", F.col("least").alias("lo"))
     root = large.groupBy("hi").agg(F.min("lo").alias("root"))
-    small = large.join(root, "hi")
-    return (small.where("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
-            .union(root.select("hi", F.col("root").alias("lo"))).distinct())
+    small = F.array(F.struct("hi", F.col("root").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("root").alias("lo")))
+    return large.join(root, "hi").select(F.explode(small).alias("e")).select("e.*").where("hi > lo").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,13 +43,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     now = stage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
                 .distinct(), "edges")
-    state = _state(now)
-    while state[0]:
-        then, was = now, state
+    while not _are_stars(now):
+        then = now
         now = stage(_round(then), "stars")
-        state = _state(now)
         drop_stage(then)
-        if state == was:
-            break
     return (now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
             .union(now.select("lo", "lo").distinct()))

@@ -53,6 +53,8 @@ ROWS = 3
 MISS = 1e-6
 #: Expected members of one block of a bucket.
 BLOCK = 256
+#: The group of the members of small components, which share blocks.
+SHARED = -(2**63)
 #: Words whose hashes a worker remembers before it starts anew (some 15 MB).
 REMEMBERED = 100_000
 
@@ -201,30 +203,36 @@ def mixed_members(cand: DataFrame) -> DataFrame:
     return keyed.join(mixed, ["x", "y"]).select("x", "cls", "comp").distinct()
 
 
-def dealt(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per member and pair of blocks that it belongs to: x, g1, k1, g2, k2, cls.
+def placed(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The block of each member: x, g, blocks, k, cls, blocks being how many its group has.
 
     The tables of one A group x are taken together. A component with a block's
     worth of members there has blocks of its own (g its id), the rest shares
-    blocks (g = -2**63). Two blocks of one component need no test, so a large
-    group that is linked already costs no pairs of blocks within itself.
+    blocks (g = ``SHARED``).
     """
     sized = members.groupBy("x", "comp").agg(F.count("*").alias("n"))
-    shared = F.lit(-(2**63)).cast("long")
-    group = sized.withColumn("g", F.when(F.col("n") >= block, F.col("comp")).otherwise(shared))
+    group = sized.withColumn("g", F.when(F.col("n") >= block, F.col("comp")).otherwise(F.lit(SHARED).cast("long")))
     counts = group.groupBy("x", "g").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    blocks = counts.select("x", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    return (members.join(group.select("x", "comp", "g"), ["x", "comp"]).join(counts, ["x", "g"])
+            .select("x", "g", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("k"), "cls"))
+
+
+def dealt(placed: DataFrame) -> DataFrame:
+    """One row per member and pair of blocks that it belongs to: x, g1, k1, g2, k2, cls.
+
+    Two blocks of one component need no test, so a large group that is linked already
+    costs no pairs of blocks within itself. ``placed`` is read twice and should be a stage table.
+    """
+    blocks = (placed.select("x", "g", "blocks").distinct()
+              .select("x", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")))
     one = blocks.select("x", F.col("g").alias("g1"), F.col("k").alias("k1"))
     two = blocks.select("x", F.col("g").alias("g2"), F.col("k").alias("k2"))
-    pairs = one.join(two, "x").where(((F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("g1") == shared)
+    pairs = one.join(two, "x").where(((F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("g1") == SHARED)
                                                                      & (F.col("k1") <= F.col("k2")))))
-    placed = (members.join(group.select("x", "comp", "g"), ["x", "comp"]).join(counts, ["x", "g"])
-              .select("x", "g", F.pmod(F.xxhash64("cls"), "blocks").alias("k"), "cls"))
-    left = placed.withColumnsRenamed({"g": "g1", "k": "k1"}).join(pairs, ["x", "g1", "k1"])
-    right = (placed.withColumnsRenamed({"g": "g2", "k": "k2"}).join(pairs, ["x", "g2", "k2"])
-             .where("g1 != g2 or k1 != k2"))
-    order = ["x", "g1", "k1", "g2", "k2", "cls"]
-    return left.select(order).union(right.select(order))
+    sides = F.array_distinct(F.array(*(F.struct(F.col(f"g{i}").alias("g"), F.col(f"k{i}").alias("k")) for i in (1, 2))))
+    pair = ["x", "g1", "k1", "g2", "k2"]
+    of_pair = pairs.select(*pair, F.explode(sides).alias("side")).select(*pair, "side.g", "side.k")
+    return placed.select("x", "g", "k", "cls").join(of_pair, ["x", "g", "k"]).select(*pair, "cls")
 
 
 def block_links(rows: pa.Table, percent: int) -> tuple:
@@ -262,7 +270,11 @@ def block_links(rows: pa.Table, percent: int) -> tuple:
 
 def between(cand: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Links between components (column comp) that share a table, as (hi, lo) rows
-    that connect the same classes. Pairs are tested inside blocks and never become rows."""
+    that connect the same classes. Pairs are tested inside blocks and never become rows.
+
+    Members and their blocks are written on the way: in one plan, which adaptive
+    execution tells the driver anew after each of its stages, they filled its memory.
+    """
     schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64())])
     keys = ["x", "g1", "k1", "g2", "k2"]
 
@@ -272,7 +284,8 @@ def between(cand: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int
             if len(hi):
                 yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], schema=schema)
 
-    groups = dealt(mixed_members(cand), block).join(sets, "cls")
+    members = stage(mixed_members(cand), "mixed")
+    groups = dealt(stage(placed(members, block), "placed")).join(sets, "cls")
     return (groups.repartition(shuffle_tasks(cand.sparkSession), *keys).sortWithinPartitions(*keys)
             .mapInArrow(run, "hi long, lo long").distinct())
 

@@ -7,7 +7,8 @@ import numpy as np
 from nasty import documents, empty, sf_dir, words
 from pyspark.sql import functions as F
 
-from playlens.llm import embeddings, minhash, queries
+from playlens.llm import components, embeddings, minhash, queries
+from playlens.llm.common import stage
 from playlens.llm.components import connected_components
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -35,6 +36,34 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(empty(spark, "a long, b long")).count() == 0
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that are stars already need no round, others no further one to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(components, "stage", lambda df, name: written.append(name) or stage(df, name))
+    stars = spark.createDataFrame([(1, i) for i in range(2, 30)] + [(50, 51)], "a long, b long")
+    assert dict(map(tuple, connected_components(stars).collect())) == {i: 1 for i in range(1, 30)} | {50: 50, 51: 50}
+    assert written == ["edges"]
+    written.clear()
+    triangle = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long")
+    assert dict(map(tuple, connected_components(triangle).collect())) == {1: 1, 2: 1, 3: 1}
+    assert written == ["edges", "stars"]
+
+
+def test_no_plan_of_near_duplicates_is_long(spark, monkeypatch):
+    """Adaptive execution sends the driver a plan after each of its stages: a long one fills its memory."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = max(plans.get(name, 0), len(re.findall(r"Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString())))
+        return stage(df, name)
+
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "stage", noted)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e g")], "doc_id long, text string")
+    assert minhash.near_duplicates(docs).count() == 3
+    assert max(plans.values()) <= 12, plans
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     centre = rng.normal(size=16)
