@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ from playlens.session import stage_table
 #: stays small. A setting of the session's own wins.
 TEXT_BATCH_ROWS = 1000
 _SHIPPED: dict = {}
+#: What this Python worker remembers, by operator, and the task that it was last asked in.
+_REMEMBERED: dict = {}
+_ASKED: dict = {"task": None}
 #: Rows of one key that a join leaves in one task, at least.
 HOT_ROWS = 10_000
 #: Keys that a join spreads, at most: a key is hot from total / HOT_KEYS rows on.
@@ -121,6 +128,34 @@ def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = least
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow's pool and glibc keep for later otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def remembered(operator: str, make: Callable[[], object] = dict):
+    """What ``make()`` gave, remembered in this Python worker for later batches and tasks of ``operator``.
+
+    Spark uses a Python worker again for other stages. When a task of another operator
+    begins there, what the worker remembered for the one before goes, so that
+    it never holds the tables of several at once; operators in one task keep theirs.
+    """
+    context = TaskContext.get()
+    task = context and context.taskAttemptId()
+    if task != _ASKED["task"]:
+        _ASKED["task"] = task
+        if others := [k for k in _REMEMBERED if k != operator]:
+            for k in others:
+                del _REMEMBERED[k]
+            give_back()
+    if operator not in _REMEMBERED:
+        _REMEMBERED[operator] = make()
+    return _REMEMBERED[operator]
+
+
 class Memo(dict):
     """What a worker remembers of strings, in two generations of at most ``entries`` each.
 

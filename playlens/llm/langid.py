@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm.common import small_batches
+from playlens.llm.common import remembered, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -38,7 +38,8 @@ _LETTERS: list = []
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is a letter."""
+    """Whether each code point is a letter: 1 MB that a worker keeps, while what it remembered for others goes."""
+    remembered("langid")
     if not _LETTERS:
         table = np.zeros(0x110000, dtype=bool)
         table[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = True

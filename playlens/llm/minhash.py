@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import grouped, local_roots, shuffle_tasks, small_batches, stage
+from playlens.llm.common import grouped, local_roots, remembered, shuffle_tasks, small_batches, stage
 from playlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -98,15 +98,13 @@ class Hashes(dict):
         return got
 
 
-_KNOWN = Hashes()
-
-
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash per word, A-Z lower-cased, words being runs without ASCII white space."""
     words = text.encode().lower().split()
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    known = remembered("minhash", Hashes)
+    if len(known) > REMEMBERED:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -136,8 +134,8 @@ def group_keys(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return keys
 
 
-def _signed(x: np.ndarray) -> list:
-    return x.view(np.int64).tolist()
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
 
 def _sketch(texts: pd.Series, groups: int = GROUPS) -> pd.DataFrame:
@@ -279,6 +277,7 @@ def between(cand: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int
     keys = ["x", "g1", "k1", "g2", "k2"]
 
     def run(batches):
+        remembered("minhash", Hashes)
         for rows in grouped(batches, keys):
             hi, lo = block_links(rows, percent)
             if len(hi):

@@ -33,12 +33,13 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from playlens.llm.common import Memo
+from playlens.llm.common import Memo, remembered
 
 CAPACITY = 2048
 #: Expected rows of one window partition when documents of a length are ranked.
@@ -138,15 +139,13 @@ class Encoder:
         return b"".join([*out, self.plain(text[at:])])
 
 
-#: This worker's encoder and the digest of its tokenizer file.
-_ENCODER: dict = {}
-
-
 def _encoder(digest: str, shared) -> Encoder:
-    if _ENCODER.get("of") != digest:
-        _ENCODER.clear()
-        _ENCODER.update(of=digest, coder=Encoder(*shared.value))
-    return _ENCODER["coder"]
+    """This worker's encoder for the tokenizer file of that digest."""
+    held = remembered("packing")
+    if held.get("of") != digest:
+        held.clear()
+        held.update(of=digest, coder=Encoder(*shared.value))
+    return held["coder"]
 
 
 def cut(n: int, capacity: int) -> list:
@@ -325,6 +324,13 @@ class Solver:
         return self.placed
 
 
+def _longs(spark: SparkSession, rows: list, names: list) -> DataFrame:
+    """A small table of bigint columns, through Arrow: of rows as a list, Spark makes a job of
+    Python workers of their own, which stay on the executors."""
+    values = np.array(rows, dtype=np.int64).reshape(len(rows), len(names))
+    return spark.createDataFrame(pa.table([pa.array(v) for v in values.T], names=names))
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, key: tuple = ("doc_id", "piece")) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` from 1 to ``capacity``.
 
@@ -334,12 +340,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, key: tuple = ("doc_id", "pi
     spark = items.sparkSession
     items = items.drop("sequence_id", "offset")
     histogram = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # <= capacity rows
-    placed = spark.createDataFrame(
-        Solver(histogram, capacity).solve(),
-        "_p_length long, _p_lo long, _p_n long, _p_first long, _p_per long, _p_at long",
-    )
-    salts = spark.createDataFrame(
-        [(s, -(-n // RANK_ROWS)) for s, n in histogram.items()], "_p_size long, _p_salts long")
+    placed = _longs(spark, Solver(histogram, capacity).solve(),
+                    ["_p_length", "_p_lo", "_p_n", "_p_first", "_p_per", "_p_at"])
+    salts = _longs(spark, [(s, -(-n // RANK_ROWS)) for s, n in histogram.items()], ["_p_size", "_p_salts"])
     # Both small tables have a bounded number of rows (a few per length).
     salted = (items.join(F.broadcast(salts), F.col("length") == F.col("_p_size"))
               .withColumn("_p_salt", F.pmod(F.xxhash64(*items.columns), "_p_salts")).drop("_p_size", "_p_salts"))

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import itertools
 import random
+import types
+import weakref
 import zlib
 
 import numpy as np
@@ -11,10 +13,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 from nasty import documents, empty, sf_dir, texts
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from playlens.llm import bpe, packing, queries
+from playlens.llm import bpe, langid, minhash, packing, queries
 from playlens.llm.common import Memo
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -186,3 +189,29 @@ def test_more_than_a_million_spaces_and_line_ends(spark):
     for i, t in enumerate(runs):
         want = np.array(coder.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()
         assert b"".join(got[i][k] for k in sorted(got[i])) == want
+
+
+def test_worker_forgets_what_another_operator_remembered(monkeypatch):
+    task = types.SimpleNamespace(number=1, taskAttemptId=lambda: task.number)
+    monkeypatch.setattr(TaskContext, "_taskContext", task)
+    with open(JSON, encoding="utf-8") as f:
+        shared = types.SimpleNamespace(value=(f.read(), packing.load_tokenizer(JSON)[1]))
+    for other in (lambda: minhash.shingle_set("some words"), lambda: langid.counts("some words")):
+        held = weakref.ref(packing._encoder("digest", shared))
+        other()
+        assert packing._encoder("digest", shared) is held()  # operators in one task keep theirs
+        task.number += 1
+        assert packing._encoder("digest", shared) is held()  # for the next task too
+        task.number += 1
+        other()
+        assert held() is None
+        task.number += 1
+
+
+def test_packing_plan_reaches_spark_without_python_workers(spark):
+    items = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 9 * 200 + 1).alias("length"))
+    packed = packing.pack(items)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.select("doc_id").distinct().count() == 50
+    assert [r.left for r in packed.groupBy("sequence_id").agg((F.sum("length") - F.max(F.col("offset") + F.col("length"))).alias("left")).collect()] == \
+        [0] * packed.select("sequence_id").distinct().count()
